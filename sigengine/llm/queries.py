@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigengine.llm.common import table
+from sigengine.llm.common import crc_mod, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +27,26 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigengine.llm.centroid_langid import fit, predict
+
+    docs, held = table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2
+    return predict(docs, fit(docs.filter(~held)), keep={"held_out": held})
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigengine.llm.pii import pii_report
 
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op7_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigengine.llm.convnet import fit, score
+
+    docs, held = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
+    return score(docs, fit(docs, table(spark, sf_dir, "labels").filter(~held)), keep={"held_out": held})
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +63,6 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_hyperminhash, op4_license_scan, op6_pii, op8_byte_bpe, op10_pattern_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_hyperminhash, op4_license_scan, op5_centroid_langid, op6_pii, op7_convnet, op8_byte_bpe, op10_pattern_packing)}
 
 ORACLE: dict[str, str] = {}
