@@ -33,6 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
 def python_ready(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of whole texts holds, and send this package to the executors once a context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     sc = spark.sparkContext
     if getattr(sc, "_sigengine_sent", False):
         return

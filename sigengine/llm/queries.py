@@ -15,6 +15,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigengine.llm.suffix_tree import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1)
+
+
 def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigengine.llm.hyperminhash import near_duplicates
 
@@ -63,6 +69,6 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_hyperminhash, op4_license_scan, op5_centroid_langid, op6_pii, op7_convnet, op8_byte_bpe, op10_pattern_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_tree, op3_hyperminhash, op4_license_scan, op5_centroid_langid, op6_pii, op7_convnet, op8_byte_bpe, op10_pattern_packing)}
 
 ORACLE: dict[str, str] = {}

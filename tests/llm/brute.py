@@ -117,3 +117,21 @@ def token_pieces(text, tokenizer, size):
     first = len(ids) % size or size
     bounds = [0, *range(first, len(ids) + 1, size)]
     return [(k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(zip(bounds, bounds[1:]))]
+
+
+def crc(i, n):
+    return zlib.crc32(str(i).encode()) % n
+
+
+def unigrams(rows):
+    """doc_id -> base columns of the language-model query."""
+    import math
+    from collections import Counter
+
+    tokens = {i: [*WORD.findall(lower(t)), None] for i, t in rows}
+    c = Counter(w for i, ws in tokens.items() if crc(i, 5) != 1 for w in ws)
+    n, v = sum(c.values()), len(c)
+    return {
+        i: {"held_out": crc(i, 5) == 1, "n_tokens": len(ws), "n_known": sum(w in c for w in ws), "train_tokens": n, "base_score": sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)}
+        for i, ws in tokens.items()
+    }
