@@ -170,3 +170,19 @@ def score(docs: DataFrame, model: dict | None, p: ConvParams = ConvParams(), id_
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
     return d.mapInArrow(run, f"{kinds}, score double, predicted int")
+
+
+def keep_documents(docs: DataFrame, model: dict | None, p: ConvParams = ConvParams(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold."""
+    python_ready(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = shared.value
+        for b in batches:
+            yield b.filter(pa.array([m is None or probability(t, m, p) >= p.threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -252,3 +252,14 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col:
 def starred_pairs(likely: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs tested on full sets already."""
     return likely.union(links).distinct()
+
+
+def keep_documents(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one document of each component; rows repeated in id and text stay once."""
+    found = cut(near_duplicates(docs, p, id_col, text_col))
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    out = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    again = cut(found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(id_col)).count().filter("count > 1").select(id_col))
+    if again.isEmpty():
+        return out
+    return out.join(again, id_col, "left_anti").select(docs.columns).union(out.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col]))

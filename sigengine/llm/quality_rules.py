@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sigengine.llm.common import SPACES, cut, let
 
+SYMBOLS = "#*$%&|<>"
 RULES = ("short", "repeated", "symbols", "dup_lines")
 
 
@@ -72,30 +73,39 @@ def _repeat_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) > window, let(hashed, lambda h: doubled(h, 1))).otherwise(F.lit(0)).cast("long")
 
 
+def _of_words(text: Column, params: QualityParams) -> Column:
+    return let(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w, params.window).alias("n_repeat_words")))
+
+
+def _of_lines(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " " + SPACES, "")) > 0)
+    return let(lines, lambda v: F.struct(F.size(v).cast("long").alias("n_lines"), (F.size(v) - F.size(F.array_distinct(v))).cast("long").alias("n_dup_lines")))
+
+
+def _short(n_words: Column, params: QualityParams) -> Column:
+    return n_words < params.min_words
+
+
+def _repeated(n_words: Column, n_repeat_words: Column, params: QualityParams) -> Column:
+    return 100 * n_repeat_words > params.max_repeat_pct * n_words
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", params: QualityParams = QualityParams()) -> DataFrame:
     """Counts and rule failures of each document."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def of_words(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w, params.window).alias("n_repeat_words"))
-
-    def of_lines(lines: Column) -> Column:
-        return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
-
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " " + SPACES, "")) > 0)
-    symbols = "#*$%&|<>"
     d = d.select(
         "doc_id",
         "host",
         F.length(F.translate("text", " " + SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", symbols, ""))).cast("long").alias("n_symbols"),
-        let(_words(F.col("text")), of_words).alias("w"),
-        let(lines, of_lines).alias("l"),
+        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        _of_words(F.col("text"), params).alias("w"),
+        _of_lines(F.col("text")).alias("l"),
     ).select("doc_id", "host", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
     return d.withColumns(
         {
-            "short": F.col("n_words") < params.min_words,
-            "repeated": 100 * F.col("n_repeat_words") > params.max_repeat_pct * F.col("n_words"),
+            "short": _short(F.col("n_words"), params),
+            "repeated": _repeated(F.col("n_words"), F.col("n_repeat_words"), params),
             "symbols": 100 * F.col("n_symbols") > params.max_symbol_pct * F.col("n_words"),
             "dup_lines": 100 * F.col("n_dup_lines") > params.max_dup_line_pct * F.col("n_lines"),
         }
@@ -136,13 +146,17 @@ def host_verdicts(hosts: DataFrame, priors: dict[str, tuple[float, float]], para
     return hosts.withColumns(rates).withColumn("host_rejected", F.greatest(*[F.col(c) for c in rates]) > params.host_limit)
 
 
+def _rejected_hosts(feats: DataFrame, params: QualityParams) -> DataFrame:
+    """(host): broadcast if there are few."""
+    hosts = host_counts(feats)
+    bad = cut(host_verdicts(hosts, beta_priors(hosts, params), params).filter("host_rejected").select("host"))
+    return F.broadcast(bad) if bad.count() <= params.broadcast_hosts else bad
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", params: QualityParams = QualityParams()) -> DataFrame:
     """One row a document: counts, ``base_failed``, ``host_rejected`` and ``kept``."""
     feats = cut(features(docs, id_col, text_col, host_col, params))
-    hosts = host_counts(feats)
-    verdicts = host_verdicts(hosts, beta_priors(hosts, params), params)
-    bad = cut(verdicts.filter("host_rejected").select("host", "host_rejected"))
-    bad = F.broadcast(bad) if bad.count() <= params.broadcast_hosts else bad
+    bad = _rejected_hosts(feats, params).withColumn("host_rejected", F.lit(True))
     return (
         feats.join(bad, "host", "left")
         .withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
@@ -150,3 +164,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
     )
+
+
+def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", params: QualityParams = QualityParams()) -> DataFrame:
+    """The rows of ``docs`` that are kept. Texts are measured twice, for hosts and for rows, so that none is shuffled."""
+    feats = features(docs.withColumn("__no_id", F.lit(0)), "__no_id", text_col, host_col, params)
+    bad = _rejected_hosts(feats, params)
+    w = _of_words(F.coalesce(F.col(text_col), F.lit("")), params)
+    failed = let(w, lambda x: _short(x["n_words"], params) | _repeated(x["n_words"], x["n_repeat_words"], params))
+    return docs.filter(~failed).join(bad, docs[host_col].cast("string") == bad["host"], "left_anti")

@@ -61,6 +61,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigengine.llm.hnsw import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +75,6 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_tree, op3_hyperminhash, op4_license_scan, op5_centroid_langid, op6_pii, op7_convnet, op8_byte_bpe, op10_pattern_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_tree, op3_hyperminhash, op4_license_scan, op5_centroid_langid, op6_pii, op7_convnet, op8_byte_bpe, op9_hnsw, op10_pattern_packing)}
 
 ORACLE: dict[str, str] = {}
