@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -27,6 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigengine-"))
+    # Spark removes the shuffle files of earlier steps once nothing refers to them, which an idle driver would notice late
+    gc.collect()
+    sc._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

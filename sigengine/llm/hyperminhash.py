@@ -7,8 +7,9 @@ agree in a bucket with the probability of their Jaccard similarity, whatever the
 
 Equal sets become one class first. Bands of registers bucket the classes; each bucket's members are compared with a few
 leaders (not with each other), by register estimates corrected for chance collisions and then on full sets. Components of
-these links are found; buckets that still hold several components compare all members across components. So every
-pair that shares a band is either tested or already joined, and no pairs within a joined group are emitted.
+these links are found; buckets that still hold several components compare all members across components, by sketches of
+a few bits of each register within the join, so that only likely pairs leave it. So every pair that shares a band is
+either tested or already joined, and no pairs within a joined group are emitted.
 
 Two sets of similarity 0.75 share none of 40 bands of 4 registers with probability 3e-7.
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigengine.llm.common import cut, python_ready
@@ -39,8 +40,10 @@ class MinHashParams:
     bands: int = 40
     rows: int = 4  # registers in a band
     mantissa: int = 10
-    leaders: int = 3
-    slack: float = 0.25  # an estimate may be that far under the limit: over six standard deviations
+    slack: float = 0.17  # an estimate may be that far under the limit: five standard deviations
+    sketch_bits: int = 3  # of each register, for a first comparison of members across components
+    parity_bits: int = 2048
+    least_match: float = 0.77  # of the sketch's bits: five standard deviations under what similarity 0.75 gives
     seed: int = 20_240_607
 
     @property
@@ -119,6 +122,40 @@ def registers(s: np.ndarray, p: MinHashParams) -> np.ndarray:
     return (((zeros << p.mantissa) | mantissa) ^ ((best >> 32) * 0x9E37)).astype(np.uint16)
 
 
+def sketch(regs: np.ndarray, p: MinHashParams) -> np.ndarray:
+    """A few hashed bits of each register, in longs: equal registers agree in all of them, others in half."""
+    h = mix(regs.astype(_U) + (np.arange(len(regs), dtype=_U) << _U(20)) + _U(1))
+    bits = (h[:, None] >> np.arange(p.sketch_bits, dtype=_U)[None]) & _U(1)
+    return np.packbits(np.pad(bits.astype(np.uint8).ravel(), (0, -bits.size % 64))).view(np.int64)
+
+
+def parity(s: np.ndarray, p: MinHashParams) -> np.ndarray:
+    """An odd sketch, in longs: a bit says whether an odd number of the set's members fall on it.
+
+    Two sketches differ where members of the symmetric difference fall, so it is precise for sets that are much alike.
+    """
+    at = (mix(s ^ _U(0xC3C3C3C3C3C3C3C3)) % _U(p.parity_bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=p.parity_bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _differ(a: str, b: str, longs: int) -> Column:
+    """Bits in which two arrays of longs differ."""
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, longs)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
+def _alike(p: MinHashParams) -> Column:
+    """Whether sketches (sa, sb), odd sketches (oa, ob) and sizes (na, nb) leave the least similarity possible, but for odds of five standard deviations."""
+    sizes = 100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb")
+    registers_ = _differ("sa", "sb", -(-p.registers * p.sketch_bits // 64)) <= int((1 - p.least_match) * p.registers * p.sketch_bits)
+    # of na + nb members, that many at most are in one set only
+    apart = (F.col("na") + F.col("nb")) * ((100 - p.percent) / (100 + p.percent))
+    e = F.exp(apart * (-2 / p.parity_bits))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.lit(p.parity_bits / 4) * (1 - e * e) - apart * e * e))
+    # a loop, not a term for each long: the join's code stays small enough to be compiled
+    odd = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return sizes & registers_ & (odd <= F.lit(p.parity_bits / 2) * (1 - e) + 5.5 * spread + 2)
+
+
 def chance(na: np.ndarray, nb: np.ndarray, p: MinHashParams) -> np.ndarray:
     """Probability that registers of unrelated sets of these sizes agree by chance."""
     la, lb = (np.maximum(np.asarray(x, float) / p.registers, 0.5) for x in (na, nb))
@@ -144,18 +181,21 @@ def signatures(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str
         import pyarrow as pa
 
         for batch in batches:
-            n, f1, f2, bands, seen = [], [], [], [], {}
+            n, f1, f2, bands, sketches, odd, seen = [], [], [], [], [], [], {}
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, p.shingle)
                 a, b = fingerprint(s)
                 if len(s) and (a, b) not in seen:
-                    seen[a, b] = registers(s, p).view(np.int64) if p.rows == 4 else np.array([hash(r.tobytes()) for r in registers(s, p).reshape(p.bands, -1)])
-                n.append(len(s)), f1.append(a), f2.append(b), bands.append(seen[a, b] if len(s) else None)
+                    r = registers(s, p)
+                    seen[a, b] = r.view(np.int64), sketch(r, p), parity(s, p)
+                x, y, z = seen[a, b] if len(s) else (None, None, None)
+                n.append(len(s)), f1.append(a), f2.append(b), bands.append(x), sketches.append(y), odd.append(z)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "f1", "f2", "bands"]
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch", "odd"],
             )
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bands array<long>")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, odd array<long>")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
@@ -207,14 +247,16 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col:
     """One row a document: doc_id, n_shingles, component_id, kept."""
     sig = cut(signatures(docs, p, id_col, text_col))
     classes = cut(
-        sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")).select("f1", "f2", F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.bands")
+        sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "odd")).alias("x")).select("f1", "f2", F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.bands", "x.sketch", "x.odd")
     )
     # a set of one or two shingles is similar enough to itself only
     slots = classes.filter("n_shingles > 2").select("rep", F.posexplode("bands").alias("band", "key"))
-    orders = [F.col("rep"), *[F.xxhash64(F.lit(i), "rep") for i in range(1, p.leaders)]]
-    shared = cut(slots.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c"), *[F.min_by("rep", o).alias(f"l{i}") for i, o in enumerate(orders)]).filter("c > 1"))
+    shared = slots.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     members = cut(slots.join(shared, ["band", "key"]))
-    starred = members.select("rep", F.explode(F.array(*[f"l{i}" for i in range(p.leaders)])).alias("lead")).filter("rep != lead").select(F.greatest("rep", "lead").alias("u"), F.least("rep", "lead").alias("v")).distinct()
+    # a text that others were made from shares more bands with them than they do with each other: such a one leads
+    popular = members.groupBy("rep").agg(F.sum("c").alias("popular"))
+    leaders = members.join(popular, "rep").groupBy("band", "key").agg(F.min("rep").alias("l0"), F.max_by("rep", F.struct("popular", F.xxhash64("rep"))).alias("l1"))
+    starred = members.join(leaders, ["band", "key"]).select("rep", F.explode(F.array("l0", "l1")).alias("lead")).filter("rep != lead").select(F.greatest("rep", "lead").alias("u"), F.least("rep", "lead").alias("v")).distinct()
     likely = cut(_likely(starred, classes, p))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -228,13 +270,13 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col:
     held = members.select("band", "key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = held.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", "n").alias("big")).filter("lo != hi").select("band", "key", "big")
-    held = cut(held.join(mixed, ["band", "key"]))
+    held = cut(held.join(mixed, ["band", "key"]).join(classes.select("rep", "n_shingles", "sketch", "odd"), "rep"))
     if not held.isEmpty():
-        left = held.filter("component != big").select("band", "key", F.col("rep").alias("a"), F.col("component").alias("ca"), "big")
-        right = held.select("band", "key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        across = left.join(right, ["band", "key"]).filter("ca != cb AND (cb = big OR a < b)").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        rest = across.join(starred_pairs(likely, links), ["u", "v"], "left_anti")
-        more = cut(_likely(rest, classes, p))
+        side = lambda x: [F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("odd").alias(f"o{x}")]
+        left = held.filter("component != big").select("band", "key", "big", *side("a"))
+        right = held.select("band", "key", *side("b"))
+        across = left.join(right, ["band", "key"]).filter(F.expr("ca != cb AND (cb = big OR a < b)") & _alike(p)).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        more = cut(_likely(across.join(likely, ["u", "v"], "left_anti"), classes, p))
         if not more.isEmpty():
             found = cut(_confirmed(more, sets_of(more), p))
             if not found.isEmpty():
@@ -249,11 +291,6 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col:
     )
 
 
-def starred_pairs(likely: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs tested on full sets already."""
-    return likely.union(links).distinct()
-
-
 def keep_documents(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one document of each component; rows repeated in id and text stay once."""
     found = cut(near_duplicates(docs, p, id_col, text_col))
