@@ -39,6 +39,7 @@ class TreeParams:
     smoothing: float = 20.0  # weight of the suffix's distribution, in occurrences
     penalty: float = 1.0  # times ln(occurrences) for each symbol seen, against twice the log likelihood ratio
     chunk_tokens: int = 4_000_000
+    broadcast_contexts: int = 200_000  # with room for a few frequent transitions each
     lump: float = 0.5  # added to each word's count, and to that of unknown words
 
 
@@ -260,11 +261,19 @@ def _sent(rows: DataFrame, root: _Root, p: TreeParams) -> DataFrame:
         F.sum("c").alias("total"),
         F.sum(F.when(seen, F.col("c") * F.ln(F.col("c") / F.col("q")))).alias("ratio"),
         F.count_if(seen).alias("seen"),
+        F.collect_list(F.when(F.col("c") >= root.least, F.struct("key", "c"))).alias("frequent"),  # at most total / K of them
     )
     ratio = 2 * (F.col("ratio") - F.col("total") * F.ln("total"))
     kept = (F.col("total") >= root.least) & (ratio > p.penalty * F.col("seen") * F.ln("total"))
-    by_context = by_context.filter("total > 0").select("context", "total", kept.cast("long").alias("kept"))
-    useful = total.join(by_context, "context").filter((F.col("kept") == 1) | (F.col("c") >= root.least)).select("key", "c", "total", "kept")
+    by_context = cut(by_context.filter("total > 0").select("context", "total", kept.alias("kept"), "frequent").filter("kept OR size(frequent) > 0"))
+    # only transitions of kept contexts, and those that may be contexts themselves, are shuffled with their chunks
+    kept = by_context.filter("kept").select("context", "total")
+    frequent = by_context.filter("NOT kept").select(F.explode("frequent").alias("x"), "total").select("x.key", "x.c", "total")
+    if by_context.count() <= p.broadcast_contexts:
+        kept, frequent = F.broadcast(kept), F.broadcast(frequent)
+    own = rows.join(kept, "context").select("chunk", "key", "n", "total")
+    own = own.withColumn("c", F.sum("n").over(Window.partitionBy("key"))).select("chunk", "key", "c", "total", F.lit(1).cast("long").alias("kept"))
+    useful = own.unionByName(rows.select("chunk", "key").join(frequent, "key").select("chunk", "key", "c", "total", F.lit(0).cast("long").alias("kept")))
 
     def pack(key, pdf):
         import pandas as pd
@@ -273,7 +282,7 @@ def _sent(rows: DataFrame, root: _Root, p: TreeParams) -> DataFrame:
         a = a[np.argsort(a[:, 0].copy().view(np.uint64))]
         return pd.DataFrame({"chunk": [key[0]], "more": [_pack(a.reshape(-1))]})
 
-    return rows.select("chunk", "key").join(useful, "key").groupBy("chunk").applyInPandas(pack, "chunk long, more binary")
+    return useful.groupBy("chunk").applyInPandas(pack, "chunk long, more binary")
 
 
 def score_texts(docs: DataFrame, held: Column, p: TreeParams = TreeParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,6 +304,7 @@ def score_texts(docs: DataFrame, held: Column, p: TreeParams = TreeParams(), id_
     rare = (rare_tokens + p.lump * (known - tracked + 1)) / (tokens + p.lump * (known + 1))
     root = _Root(tokens, known, least, rare, p.lump)
     state = cut(parts.join(counted.select("chunk", "counts"), "chunk").withColumn("sent", F.array().cast("array<binary>")))
+    del parts, counted
     for _ in range(p.depth):
         more = _sent(_transition_rows(state, root, p), root, p)
         state = cut(state.join(more, "chunk", "left").withColumn("sent", F.concat("sent", F.array("more"))).drop("more"))
