@@ -67,7 +67,8 @@ class Graph:
         ids[:, :k] = entry[:, :k]
         sim[:, :k] = np.where(entry[:, :k] >= 0, np.einsum("bd,bkd->bk", q, self.x[entry[:, :k]]), -2.0)
         fresh[:, :k] = entry[:, :k] >= 0
-        seen[rows[:, None], np.maximum(entry[:, :k], 0)] |= entry[:, :k] >= 0
+        at = np.nonzero(entry[:, :k] >= 0)
+        seen[at[0], entry[:, :k][at]] = True
         live = rows
         while len(live):
             score = np.where(fresh[live], sim[live], -3.0)
@@ -78,7 +79,8 @@ class Graph:
             fresh[live, at] = False
             c = near[ids[live, at]]
             new = (c >= 0) & ~seen[live[:, None], np.maximum(c, 0)]
-            seen[live[:, None], np.maximum(c, 0)] |= c >= 0
+            at = np.nonzero(c >= 0)
+            seen[live[at[0]], c[at]] = True
             s = np.where(new, np.einsum("bd,bmd->bm", q[live], self.x[c]), -2.0)
             some = (s > sim[live, -1][:, None]).any(1)
             at = live[some]
@@ -208,6 +210,7 @@ def links(queries: np.ndarray, graph: Graph, exact: np.ndarray, p: HnswParams) -
             break
         ef = min(2 * ef, n)
     a, b = joined(beam(every, ef) if ef < n else scan(every))
+    a, b = np.unique(np.stack([a, b], 1), axis=0).T if len(a) else (a, b)
     ok = np.zeros(len(a), bool)
     for i in range(0, len(a), 100_000):
         s = slice(i, i + 100_000)
@@ -268,7 +271,7 @@ def near_vectors(vectors: DataFrame, p: HnswParams = HnswParams(), id_col: str =
                 if same:
                     a, b = links(x, g, x, p)
                     a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-                    a, b = np.unique(np.stack([a, b], 1), axis=0).T if len(a) else (a, b)
+                    a, b = np.unique(np.stack([a, b], 1), axis=0).T if len(a) else (a, b)  # found from either side
                     all_ids, all_m = ids, m
                 else:
                     ids2, m2, x2, g2 = pickle.loads(batch.column("blob_t")[k].as_py())

@@ -24,14 +24,14 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 #: Fixed phrases of the contract and their labels.
 BASE = ((b"under the mit license", "mit"), (b"apache license version 2", "apache-2"), (b"cc by nc", "cc-by-nc"))
 
-#: label, keyword that must be in the text, name as it stands in running words, identifier of SPDX in words, specificity
+#: label, keywords of which the text must hold one, name as it stands in running words, identifier of SPDX in words, specificity
 FAMILIES = (
-    ("agpl-3", "gpl", r"(?:gnu )?(?:affero general public license|agpl)(?: v| version )?3?(?: 0)?", r"agpl 3 0", 9),
-    ("lgpl-2.1", "gpl", r"(?:gnu )?(?:lesser general public license|lgpl)(?: v| version )?2 1", r"lgpl 2 1", 9),
-    ("lgpl-3", "gpl", r"(?:gnu )?(?:lesser general public license|lgpl)(?: v| version )3(?: 0)?", r"lgpl 3 0", 9),
-    ("gpl-2", "gpl", r"(?:gnu )?(?:general public license|gpl)(?: v| version )2(?: 0)?", r"gpl 2 0", 8),
-    ("gpl-3", "gpl", r"(?:gnu )?(?:general public license|gpl)(?: v| version )3(?: 0)?", r"gpl 3 0", 8),
-    ("gpl", "gpl", r"(?:gnu )?(?:general public license|gpl)", r"gpl", 5),
+    ("agpl-3", "gpl|general public", r"(?:gnu )?(?:affero general public license|agpl)(?: v| version )?3?(?: 0)?", r"agpl 3 0", 9),
+    ("lgpl-2.1", "gpl|general public", r"(?:gnu )?(?:lesser general public license|lgpl)(?: v| version )?2 1", r"lgpl 2 1", 9),
+    ("lgpl-3", "gpl|general public", r"(?:gnu )?(?:lesser general public license|lgpl)(?: v| version )3(?: 0)?", r"lgpl 3 0", 9),
+    ("gpl-2", "gpl|general public", r"(?:gnu )?(?:general public license|gpl)(?: v| version )2(?: 0)?", r"gpl 2 0", 8),
+    ("gpl-3", "gpl|general public", r"(?:gnu )?(?:general public license|gpl)(?: v| version )3(?: 0)?", r"gpl 3 0", 8),
+    ("gpl", "gpl|general public", r"(?:gnu )?(?:general public license|gpl)", r"gpl", 5),
     ("apache-2", "apache", r"apache(?: software)? license(?: version)? 2(?: 0)?", r"apache 2 0", 8),
     ("apache-1.1", "apache", r"apache(?: software)? license(?: version)? 1 1", r"apache 1 1", 8),
     ("apache", "apache", r"apache(?: software)? license", r"apache", 5),
@@ -42,12 +42,12 @@ FAMILIES = (
     ("bsd-4", "bsd", r"(?:4 clause|four clause|original) bsd", r"bsd 4 clause", 8),
     ("bsd", "bsd", r"bsd", r"bsd", 5),
     ("isc", "isc", r"isc", r"isc", 6),
-    ("mpl-2", "mozilla", r"mozilla public license(?: v| version)? 2(?: 0)?", r"mpl 2 0", 8),
-    ("mpl-1.1", "mozilla", r"mozilla public license(?: v| version)? 1 1", r"mpl 1 1", 8),
-    ("epl-2", "eclipse", r"eclipse public license(?: v| version)? 2(?: 0)?", r"epl 2 0", 8),
-    ("epl-1", "eclipse", r"eclipse public license(?: v| version)? 1(?: 0)?", r"epl 1 0", 8),
-    ("cddl", "development and distribution", r"common development and distribution license", r"cddl 1 0", 8),
-    ("eupl", "european union public", r"european union public licen[cs]e", r"eupl 1 2", 8),
+    ("mpl-2", "mozilla|mpl", r"mozilla public license(?: v| version)? 2(?: 0)?", r"mpl 2 0", 8),
+    ("mpl-1.1", "mozilla|mpl", r"mozilla public license(?: v| version)? 1 1", r"mpl 1 1", 8),
+    ("epl-2", "eclipse|epl", r"eclipse public license(?: v| version)? 2(?: 0)?", r"epl 2 0", 8),
+    ("epl-1", "eclipse|epl", r"eclipse public license(?: v| version)? 1(?: 0)?", r"epl 1 0", 8),
+    ("cddl", "development and distribution|cddl", r"common development and distribution license", r"cddl 1 0", 8),
+    ("eupl", "european union public|eupl", r"european union public licen[cs]e", r"eupl 1 2", 8),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0", 8),
     ("cc-by-nc-nd", "cc by nc nd", r"cc by nc nd(?: [234] 0)?", r"cc by nc nd 4 0", 9),
     ("cc-by-nc-sa", "cc by nc sa", r"cc by nc sa(?: [234] 0)?", r"cc by nc sa 4 0", 9),
@@ -61,13 +61,13 @@ FAMILIES = (
     ("unlicense", "unlicense", r"unlicense", r"unlicense", 6),
     ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl", 6),
     ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib", 6),
-    ("boost-1", "boost", r"boost software license(?: v| version)?(?: 1 0)?", r"bsl 1 0", 8),
+    ("boost-1", "boost|bsl", r"boost software license(?: v| version)?(?: 1 0)?", r"bsl 1 0", 8),
     ("artistic-2", "artistic", r"artistic license(?: v| version)? 2(?: 0)?", r"artistic 2 0", 8),
     ("artistic", "artistic", r"artistic license", r"artistic 1 0", 5),
     ("postgresql", "postgresql", r"postgresql license", r"postgresql", 7),
-    ("python-2", "python software foundation", r"python software foundation license", r"psf 2 0", 8),
-    ("ofl-1.1", "open font", r"(?:sil )?open font license", r"ofl 1 1", 8),
-    ("odbl", "open database", r"open database license", r"odbl 1 0", 8),
+    ("python-2", "python software foundation|psf", r"python software foundation license", r"psf 2 0", 8),
+    ("ofl-1.1", "open font|ofl", r"(?:sil )?open font license", r"ofl 1 1", 8),
+    ("odbl", "open database|odbl", r"open database license", r"odbl 1 0", 8),
     ("public-domain", "public domain", r"public domain", r"public domain", 5),
     ("proprietary", "all rights reserved", r"all rights reserved", r"proprietary", 4),
 )
@@ -90,22 +90,22 @@ _BARE = re.compile(r"license|cc|public domain|rights|creative|unlicense|wtfpl|gp
 
 @lru_cache(1)
 def rules() -> tuple:
-    """(keyword, [(priority, weight, label, compiled rule)]) by keyword."""
-    out: dict[bytes, list] = {}
+    """(keywords, [(priority, weight, label, compiled rule)]) by keywords."""
+    out: dict[tuple, list] = {}
     for label, keyword, name, spdx, specific in FAMILIES:
         for template, weight in TEMPLATES:
             if template == "{name}" and not _BARE.search(name):
                 continue
             rule = re.compile(("(?<![^ ])" + template.format(name=f"(?:{name})", spdx=f"(?:{spdx})") + "(?![^ ])").encode())
-            out.setdefault(keyword.encode(), []).append((specific * weight, weight, label, rule))
+            out.setdefault(tuple(keyword.encode().split(b"|")), []).append((specific * weight, weight, label, rule))
     return tuple(out.items())
 
 
 def detections(words: bytes) -> list[tuple[int, int, str, float]]:
     """(start, end, label, weight) in ``words``, a text's words joined by single spaces; contained ones suppressed."""
     found = []
-    for keyword, own in rules():
-        if keyword in words:
+    for keywords, own in rules():
+        if any(k in words for k in keywords):
             for priority, weight, label, rule in own:
                 found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, weight) for m in rule.finditer(words)]
     kept: list[tuple[int, int, str, float]] = []

@@ -1,0 +1,261 @@
+"""Operators against plain versions, on the smallest test tables and on hand-made edge rows."""
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sigengine.llm import queries
+from sigengine.llm.common import crc_mod
+
+SF = "/root/testdata/sf0.001"
+LONG = "the quick brown fox jumps over a lazy dog near the river bank while " * 3000
+EDGES = [
+    (1, None, "a", None),
+    (2, "", "a", "en"),
+    (3, "one two", None, "en"),
+    (4, "one two", "b", "fr"),
+    (5, LONG, "b", "en"),
+    (5, LONG, "b", "en"),
+    (None, "no id but some words stand here", "b", "en"),
+    (7, "x" * 50_000, "c", "de"),
+    (8, "é \x00 ñ 一二三 😀 +1 (375) 555-4393 a@b.example.com 4012888888881881 1.2.3.4 1.2.3.999", "c", None),
+    (9, "Licensed UNDER the MIT license, cc-by-nc; Apache License, Version 2.0 under the mit license", "c", "en"),
+    (10, "A " * 40 + "\n\n b\nb\nb", "", "en"),
+    (11, "  two  spaces \t and\ttabs  \n", "d", "en"),
+    (12, "GB82WEST12345698765432 account", "d", "en"),
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(EDGES, "doc_id long, text string, source string, lang string").withColumns({"host": F.lit(1), "rep": F.lit(2), "score": F.lit(3)})
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def check(rows, docs, f):
+    assert len(rows) == len(docs)
+    for r in rows:
+        want = f(docs[r["doc_id"]])
+        assert {k: r[k] for k in want} == want
+
+
+def on_edges(df, f):
+    rows = df.collect()
+    assert len(rows) == len(EDGES)
+    texts = {i: t for i, t, *_ in EDGES}
+    for r in rows:
+        want = f(texts[r["doc_id"]])
+        assert {k: r[k] for k in want} == want, r["doc_id"]
+
+
+def test_quality_rules(spark, docs, edges):
+    from sigengine.llm.quality_rules import keep_documents, quality_rules
+
+    check(queries.op1_quality_rules(spark, SF).collect(), docs, brute.quality)
+    on_edges(quality_rules(edges), brute.quality)
+    assert quality_rules(edges.limit(0)).count() == 0
+    kept = {r["doc_id"] for r in quality_rules(edges).filter("kept").collect()}
+    assert {r["doc_id"] for r in keep_documents(edges).collect()} == kept
+
+
+def test_host_verdict(spark):
+    from sigengine.llm.quality_rules import quality_rules
+
+    good = "every word of this text is its own and there are more than twenty of them so that no rule has a thing to say here"
+    rows = [(i, "bad" if i < 40 else "good", "short" if i < 38 else good) for i in range(80)]
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got[39]["host_rejected"] and not got[39]["base_failed"] and not got[39]["kept"]
+    assert got[79]["kept"]
+
+
+def test_suffix_tree(spark, docs, edges):
+    from sigengine.llm.suffix_tree import TreeParams, score_texts
+
+    rows = queries.op2_suffix_tree(spark, SF).collect()
+    want = brute.unigrams(list(docs.items()))
+    for r in rows:
+        w = want[r["doc_id"]]
+        assert r["base_score"] == pytest.approx(w.pop("base_score"), rel=1e-9)
+        assert {k: r[k] for k in w} == w and r["score"] < 0
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert score_texts(edges, crc_mod("doc_id", 5) == 1).count() == len(EDGES)
+    assert score_texts(edges.limit(0), crc_mod("doc_id", 5) == 1).count() == 0
+    # with one context kept, the probabilities after it are those of its counts, smoothed
+    d = spark.createDataFrame([(i, "a b " * 50 + "c") for i in range(20)], "doc_id long, text string")
+    p = TreeParams(depth=1, least_count=5, root_share=0.0, smoothing=1.0)
+    r = score_texts(d, F.col("doc_id") == 0, p).filter("doc_id = 0").first()
+    n, v = 19 * 102, 4
+    p0 = lambda c: (c + 0.5) / (n + 0.5 * (v + 1))
+    after = lambda c, total, q: (c + q) / (total + 1)
+    a, b, c, end = p0(19 * 50), p0(19 * 50), p0(19), p0(19)
+    want = np.log10([a, *[after(19 * 50, 19 * 50, b)] * 50, *[after(19 * 49, 19 * 50, a)] * 49, after(19, 19 * 50, c), after(19, 19, end)]).sum()
+    assert r["score"] == pytest.approx(want)
+
+
+def test_near_duplicates(spark, docs, edges):
+    from sigengine.llm.hyperminhash import keep_documents, near_duplicates
+
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in queries.op3_hyperminhash(spark, SF).collect()}
+    assert got == brute.near(list(docs.items()))
+    rows = near_duplicates(edges).collect()
+    assert len(rows) == len(EDGES)
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in rows}
+    assert got[3] == (3, True) and got[4] == (3, False) and got[1] == (1, True) and got[2] == (2, True) and got[None] == (None, True)
+    assert near_duplicates(edges.limit(0)).count() == 0
+    ids = [r["doc_id"] for r in keep_documents(edges).collect()]
+    assert ids.count(5) == 1 and 4 not in ids and None in ids
+
+
+def test_near_copies_of_one_text(spark):
+    from sigengine.llm.hyperminhash import near_duplicates
+
+    r = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 150):
+        w = list(words)
+        for at in r.integers(0, 120, int(r.integers(1, 5))):
+            w[at] = f"c{i}x{at}"
+        rows.append((1000 - i, " ".join(w)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near(rows)
+
+
+def test_licenses(spark, docs, edges):
+    from sigengine.llm.license_scan import license_scan
+
+    check(queries.op4_license_scan(spark, SF).collect(), docs, brute.licenses)
+    on_edges(license_scan(edges), brute.licenses)
+    texts = ["SPDX-License-Identifier: GPL-3.0", "under the GNU Lesser General Public License version 2.1", "a unit of mit and of apache", None]
+    got = {r["doc_id"]: r["labels"] for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "gpl-3", 1: "lgpl-2.1", 2: "", 3: ""}
+    assert license_scan(edges.limit(0)).count() == 0
+
+
+def test_language(spark, docs, edges):
+    from sigengine.llm.centroid_langid import fit, predict
+
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = [r for r in queries.op5_centroid_langid(spark, "/root/testdata/sf0.01").collect() if r["held_out"] and lang[r["doc_id"]]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows) > 0.97 * len(rows)
+    model = fit(edges)
+    got = {r["doc_id"]: r for r in predict(edges, model).collect()}
+    assert got[1]["lang_pred"] == got[2]["lang_pred"] == "und" and got[5]["lang_pred"] == "en" and 0 <= got[5]["score"] <= 1
+    assert predict(edges, fit(edges.limit(0))).filter("lang_pred != 'und' OR score != 0").count() == 0
+    assert predict(edges.limit(0), model).count() == 0
+
+
+def test_pii(spark, docs, edges):
+    from sigengine.llm.pii import mask_pii, pii_report
+
+    check(queries.op6_pii(spark, SF).collect(), docs, lambda t: brute.pii(t)[0])
+    on_edges(pii_report(edges), lambda t: brute.pii(t)[0])
+    got = {r["doc_id"]: r["text"] for r in mask_pii(edges).select("doc_id", "text").collect()}
+    assert got[8].endswith("<PHONE> <EMAIL> 4012888888881881 <IP> 1.2.3.999") and got[12] == "<IBAN> account" and got[1] is None and got[7] == "x" * 50_000
+    odd = ["a@b.c_d@e.f", "x" * 3000 + "@y.z", "1.2.3.4.5.6.7.8", "+1 2 3 4 5 6 7 8-", "1 " * 6000, "4012 8888-8888 1881", "@@@+1@a.b", "++12345678"]
+    d = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for r in pii_report(d).collect():
+        want = brute.pii(odd[r["doc_id"]])[0]
+        assert {k: r[k] for k in want} == want, odd[r["doc_id"]]
+
+
+def test_quality_classifier(spark, edges):
+    from sigengine.llm.convnet import fit, keep_documents, score
+
+    q = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [r for r in queries.op7_convnet(spark, "/root/testdata/sf0.01").collect() if r["held_out"] and r["doc_id"] in q]
+    assert sum(r["predicted"] == q[r["doc_id"]] for r in rows) > 0.9 * len(rows)
+    assert score(edges, None).filter("score = 0.5").count() == len(EDGES)
+    assert keep_documents(edges, None).count() == len(EDGES)
+    assert fit(edges, spark.createDataFrame([], "doc_id long, quality int")) is None
+
+
+def test_bpe(spark, docs, edges):
+    import public_tokenizers as P
+
+    from sigengine.llm.bpe import encode, encoding, round_trip
+
+    enc = encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    check(queries.op8_byte_bpe(spark, SF).collect(), docs, lambda t: brute.bpe(t, enc))
+    on_edges(round_trip(edges, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), lambda t: brute.bpe(t, enc))
+    for t in (LONG, "it's  a\n\n b 's 12 é—" * 500, "x" * 500):
+        assert encode(t, enc, 97) == enc.encode_ordinary(t)
+
+
+def test_vectors(spark):
+    from sigengine.llm.hnsw import HnswParams, near_vectors
+
+    r = np.random.default_rng(3)
+    base = r.standard_normal((60, 16))
+    x = np.concatenate([base, base[r.integers(0, 60, 500)] + r.standard_normal((500, 16)) * 0.03, base[:1] + r.standard_normal((200, 16)) * 0.02, base[:5]])
+    label = [int(i % 2) for i in range(len(x))]
+    rows = [(i, [float(v) for v in e], label[i]) for i, e in enumerate(x)]
+    odd = [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] * 16, 1), (9004, [None, 1.0], 1), (9005, [1.0] * 16, None), (9006, [], 1), (None, [1.0] * 16, 1), (9007, [1.0, 2.0], 1)]
+    d = spark.createDataFrame(rows + rows[:3] + odd, "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = (u @ u.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None])
+    np.fill_diagonal(s, False)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.array([min([comp[i], *comp[np.flatnonzero(s[i])]]) for i in range(len(x))])
+        if (new == comp).all():
+            break
+        comp = new
+    for p in (HnswParams(), HnswParams(shard_rows=100, beam=16)):
+        got = {v["vec_id"]: v for v in near_vectors(d, p).collect()}
+        assert len(got) == len(rows) + len(odd)
+        assert sum(got[i]["n_links"] for i in range(len(x))) >= 0.99 * s.sum()
+        assert np.mean([got[i]["component_id"] == comp[i] for i in range(len(x))]) > 0.99
+        assert all(got[i]["n_links"] <= s[i].sum() for i in range(len(x)))
+        for i in (9001, 9002, 9003, 9004, 9005, 9006, 9007):
+            assert got[i]["n_links"] == 0 and got[i]["kept"]
+    assert near_vectors(d.limit(0)).count() == 0
+
+
+def test_packing(spark, docs, edges):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from sigengine.llm.packing import pack
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for df, texts in ((queries.op10_pattern_packing(spark, SF), list(docs.items())), (pack(edges, P.path("byte_bpe_50k.json")), [(i, t) for i, t, *_ in EDGES])):
+        rows = df.collect()
+        got = sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+        assert got == sorted((str(i), *x) for i, t in texts for x in brute.token_pieces(t, tok, 2048))
+        by = {}
+        for r in rows:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in by.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert len(by) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
+    assert pack(edges.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        after = {r["doc_id"]: r["text"] for r in out.collect()}
+        if name == "quality_rules":
+            assert set(after) == {i for i, t in before.items() if not brute.quality(t)["base_failed"]}
+        elif name == "near_dedup":
+            assert set(after) == {i for i, x in brute.near(list(before.items())).items() if x[2]}
+        else:
+            assert {i for i in after if after[i] != before[i]} >= {i for i, t in before.items() if brute.pii(t)[1]}
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    assert corpus_pipeline.run(spark, SF).count() > 0
