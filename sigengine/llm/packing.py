@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from sigengine.llm.common import cut, python_ready
 
 _ADJACENT = re.compile(r"\s\s")
+#: Where no two blanks stand together: a run of Latin letters with the space before it, a line end, or what else stands
+#: up to the next space or line end. A match of the pre-splitting pattern ends wherever one of these does.
+_UNITS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\W\d_])|\n| ?[^ \n]+| ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ENCODERS: dict = {}
 
@@ -30,15 +33,15 @@ _ENCODERS: dict = {}
 class UnitEncoder:
     """Ids of whole texts by a tokenizers file, each distinct unit being encoded once while it is remembered.
 
-    A unit begins at a space between two other characters, where byte-level pre-splitting always begins a match; so the
-    ids of the units, in order, are those of the text.
+    Units end only where byte-level pre-splitting always ends a match, so the ids of the units, in order, are those of the
+    text.
     """
 
-    def __init__(self, path: str, remembered: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, remembered: int = 1_000_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered, self.longest = Tokenizer.from_file(path), remembered, longest
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # little-endian ids
         self.special = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
 
     def units(self, text: str) -> list[str]:
@@ -46,18 +49,17 @@ class UnitEncoder:
             return [text]
         if _ADJACENT.search(text):
             return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        return _UNITS.findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.units(t) if t else [] for t in texts]
         if len(self.known) > self.remembered:
             self.known.clear()
         new = list(set().union(*split) - self.known.keys())
-        got = dict(zip(new, (x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)) if new else {}
         known = self.known
-        known.update(got)
-        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, us)), "<u4") for us in split]
+        if new:
+            known.update(zip(new, [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, us)), "<u4") for us in split]
         for u in new:
             if len(u) > self.longest:
                 del known[u]
