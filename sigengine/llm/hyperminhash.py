@@ -270,12 +270,14 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col:
     held = members.select("band", "key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = held.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", "n").alias("big")).filter("lo != hi").select("band", "key", "big")
-    held = cut(held.join(mixed, ["band", "key"]).join(classes.select("rep", "n_shingles", "sketch", "odd"), "rep"))
+    held = cut(held.join(mixed, ["band", "key"]).join(classes.select("rep", "n_shingles", "sketch", "odd", "bands"), "rep"))
     if not held.isEmpty():
-        side = lambda x: [F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("odd").alias(f"o{x}")]
+        side = lambda x: [F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("odd").alias(f"o{x}"), F.col("bands").alias(f"b{x}")]
         left = held.filter("component != big").select("band", "key", "big", *side("a"))
         right = held.select("band", "key", *side("b"))
-        across = left.join(right, ["band", "key"]).filter(F.expr("ca != cb AND (cb = big OR a < b)") & _alike(p)).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        # a pair leaves the first of the bands that it shares only; all of them are mixed buckets
+        once = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("band") + 1
+        across = left.join(right, ["band", "key"]).filter(F.expr("ca != cb AND (cb = big OR a < b)") & _alike(p) & once).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         more = cut(_likely(across.join(likely, ["u", "v"], "left_anti"), classes, p))
         if not more.isEmpty():
             found = cut(_confirmed(more, sets_of(more), p))
