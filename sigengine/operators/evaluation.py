@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigengine.operators.signals import PAIR
@@ -125,3 +125,105 @@ def ranking_stability(caught: dict[str, list[int]], draws: int = 1000, seed: int
         ranks[i] = [(total > t).sum() + ((total == t).sum() + 1) / 2 for t in total]
     bucket = np.clip(np.round(ranks), 1, len(names)).astype(int)
     return {m: {"mean_rank": float(ranks[:, k].mean()), **{f"p_rank{j}": float((bucket[:, k] == j).mean()) for j in range(1, len(names) + 1)}} for k, m in enumerate(names)}
+
+
+def average_precision(scores: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+    """Sum over falling distinct scores of the gain in recall times the precision there; null without positives."""
+    c = scores.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({"tp": F.sum("p").over(upto), "seen": F.sum("n").over(upto)})
+    return c.groupBy(*by).agg((F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
+
+
+def calibration(scores: DataFrame, label: str, prob: str, bins: int = 10) -> DataFrame:
+    """(bin, mean_pred, obs_rate, n) of every bin of [0, 1]; empty bins have n 0 and nulls; null probabilities count nowhere."""
+    b = F.least(F.floor(F.col(prob) * bins), F.lit(bins - 1)).cast("int")
+    got = scores.filter(F.col(prob).isNotNull()).groupBy(b.alias("bin")).agg(F.avg(prob).alias("mean_pred"), F.avg(F.col(label).cast("double")).alias("obs_rate"), F.count(F.lit(1)).alias("n"))
+    all_bins = scores.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return all_bins.join(got, "bin", "left").na.fill(0, ["n"])
+
+
+#: rules held against controls
+CONTROL_RULES = {"prr_ror_threshold": "prr > 2 AND ror > 2 AND case_count >= 3 AND chi2 >= 4", "robust_prr_ror_threshold": "passes_robust_filter"}
+
+
+def control_rates(sig: DataFrame, negatives: DataFrame, positives: DataFrame) -> DataFrame:
+    """False positives on negative controls and recall on positive ones, for each rule; both lists hold distinct pairs."""
+    marked = negatives.select(*PAIR, F.lit(0).alias("y")).unionByName(positives.select(*PAIR, F.lit(1).alias("y"))).join(sig.select(*PAIR, *[F.expr(c).alias(m) for m, c in CONTROL_RULES.items()]), PAIR, "left")
+    long = marked.unpivot(["y"], list(CONTROL_RULES), "method", "hit")
+    hit = F.coalesce("hit", F.lit(False))
+    d = long.groupBy("method").agg(F.count_if(F.col("y") == 0).alias("n_negatives"), F.count_if(F.col("y") == 1).alias("n_positives"), F.count_if(hit & (F.col("y") == 0)).alias("fp"), F.count_if(hit & (F.col("y") == 1)).alias("tp"))
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return d.withColumns({"fp_rate": rate("fp", "n_negatives"), "recall": rate("tp", "n_positives"), "specificity": 1 - rate("fp", "n_negatives")})
+
+
+def rule_backtest(hits: DataFrame, first: DataFrame, warnings: DataFrame, cutoffs: list[str]) -> DataFrame:
+    """Warnings after each cutoff, those among ``hits``, and the median lead in days.
+
+    The lead runs from the pair's first crossing; if no hit of a cutoff has one, it runs from the cutoff.
+    """
+    cut = warnings.sparkSession.createDataFrame([(c,) for c in cutoffs], "cutoff string")
+    future = warnings.join(F.broadcast(cut), F.col("warning_date") > F.col("cutoff").cast("date"))
+    d = future.join(hits.select(*PAIR, F.lit(1).alias("__hit")), PAIR, "left").join(first.select(*PAIR, "signal_first_detected_date"), PAIR, "left")
+    hit = F.col("__hit") == 1
+    lead = F.coalesce(F.median(F.when(hit, F.datediff("warning_date", "signal_first_detected_date"))), F.median(F.when(hit, F.datediff("warning_date", F.col("cutoff").cast("date"))))).cast("int")
+    d = d.groupBy("cutoff").agg(F.count(F.lit(1)).alias("future_warnings"), F.count_if(hit).alias("caught"), lead.alias("median_lead_days"), F.when(F.count_if(hit & F.col("signal_first_detected_date").isNotNull()) > 0, "first_detected").otherwise("cutoff").alias("lead_basis"))
+    return d.withColumns({"recall": F.col("caught") / F.col("future_warnings"), "median_lead_months": F.round(F.col("median_lead_days") / 30, 1)})
+
+
+def mcnemar_matrix(evaluated: DataFrame) -> DataFrame:
+    """Exact two-sided tests of all pairs of methods; a method succeeds at a cutoff that it catches any warning of."""
+    d = evaluated.select("method", "cutoff", (F.col("caught") > 0).alias("ok"))
+    other = d.select(F.col("method").alias("method_b"), "cutoff", F.col("ok").alias("ok_b"))
+    n = d.join(other, "cutoff").filter("method < method_b").groupBy(F.col("method").alias("method_a"), "method_b").agg(F.count_if(~F.col("ok") & F.col("ok_b")).alias("b01"), F.count_if(F.col("ok") & ~F.col("ok_b")).alias("b10"))
+    size, least = F.col("b01") + F.col("b10"), F.least("b01", "b10")
+    # binomial coefficients one from the other
+    step = lambda s, i: F.struct((s["c"] * (size - i) / (i + 1)).alias("c"), (s["t"] + s["c"]).alias("t"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), least), F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("t")), step)["t"]
+    return n.withColumn("p", F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), size)))
+
+
+def two_sided_p(z: Column) -> Column:
+    """Probability that a standard normal value is at least that far from 0, by a series of positive terms; 0 beyond 8.5."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    step = lambda s, n: F.struct((s["t"] * 2 * x * x / (2 * n + 3)).alias("t"), (s["s"] + s["t"]).alias("s"))
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(250)), F.struct(x.alias("t"), F.lit(0.0).alias("s")), step)["s"]
+    return F.when(x > 6, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - total * F.exp(-x * x) * 2 / F.sqrt(F.lit(3.141592653589793))))
+
+
+def delong_matrix(matrix: DataFrame, label: str, methods: list[str], tiny: float = 1e-14) -> DataFrame:
+    """Paired AUC tests of all pairs of methods over one score column each.
+
+    A row's placement under a method depends on its score only, so it is found once a distinct score and joined back;
+    covariances of all pairs come from one aggregation. Without a class all figures are null. A variance up to
+    ``tiny`` counts as none: z is 0 and p 1 if the areas are equal, else z is infinite and p 0.
+    """
+    long = matrix.unpivot([*PAIR, label], methods, "method", "score")
+    c = long.groupBy("method", "score").agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).withColumn("q", F.col("n") - F.col("p"))
+    below, whole = Window.partitionBy("method").orderBy("score").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("method")
+    before = lambda k: F.coalesce(F.sum(k).over(below), F.lit(0))
+    positives = F.sum("p").over(whole)
+    placed = c.select("method", "score", F.try_divide(before("q") + F.col("q") / 2, F.sum("q").over(whole)).alias("v10"), F.try_divide(positives - before("p") - F.col("p") / 2, positives).alias("v01"))
+    wide = long.join(placed, ["method", "score"]).groupBy(*PAIR, label).pivot("method", methods).agg(F.first(F.when(F.col(label) == 1, F.col("v10")).otherwise(F.col("v01"))))
+    pairs = [(a, b) for i, a in enumerate(methods) for b in methods[i:]]
+    of = lambda m, y: F.when(F.col(label) == y, F.col(m))
+    count = [F.count_if(F.col(label) == y).alias(f"n{y}") for y in (0, 1)]
+    one = wide.agg(*count, *[F.avg(of(m, 1)).alias(f"auc_{m}") for m in methods], *[F.coalesce(F.covar_samp(of(a, y), of(b, y)), F.lit(0.0)).alias(f"c{y}_{a}_{b}") for a, b in pairs for y in (0, 1)])
+    cov = lambda a, b: F.col(f"c1_{a}_{b}") / F.col("n1") + F.col(f"c0_{a}_{b}") / F.col("n0")
+    rows = [F.struct(F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), F.col(f"auc_{a}").alias("auc_a"), F.col(f"auc_{b}").alias("auc_b"), (cov(a, a) + cov(b, b) - 2 * cov(a, b)).alias("var")) for a, b in pairs if a != b]
+    d = one.filter("n0 > 0 AND n1 > 0").select(F.explode(F.array(*rows)).alias("x")).select("x.*").withColumn("diff", F.col("auc_a") - F.col("auc_b"))
+    flat, equal = F.col("var") <= tiny, F.abs("diff") <= tiny
+    d = d.withColumn("z", F.when(flat & equal, 0.0).when(flat, F.signum("diff") * F.lit(float("inf"))).otherwise(F.col("diff") / F.sqrt(F.greatest("var", F.lit(tiny)))))
+    return d.withColumn("p", F.when(flat & equal, 1.0).when(flat, 0.0).otherwise(two_sided_p(F.col("z")))).drop("diff", "var")
+
+
+def summary_intervals(evaluated: DataFrame, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """Binomial intervals of recall for each method and cutoff: one row of counts each, so the work is small wherever it runs."""
+    kept = evaluated.select("method", "cutoff", "caught", "future_warnings")
+
+    def run(frames):
+        for x in frames:
+            lo_hi = [binomial_ci(int(k), int(n), draws, seed) for k, n in zip(x["caught"], x["future_warnings"], strict=True)]
+            yield x.assign(recall_low=[v[0] for v in lo_hi], recall_high=[v[1] for v in lo_hi])
+
+    return kept.mapInPandas(run, "method string, cutoff string, caught long, future_warnings long, recall_low double, recall_high double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigengine.operators.signals import PAIR
@@ -30,3 +30,9 @@ def serving_stats(sig: DataFrame) -> DataFrame:
 
 def histogram(sig: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     return sig.filter(F.col(column).between(low, high)).groupBy(F.least(F.width_bucket(column, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def snapshot(sig: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` robust signals, structural ones first, numbered from 1; only those are gathered to be numbered."""
+    order = [F.desc("passes_structural_filter"), F.desc("robust_signal_score"), *PAIR]
+    return sig.filter("passes_robust_filter").orderBy(*order).limit(n).withColumn("id", F.row_number().over(Window.orderBy(*order)))

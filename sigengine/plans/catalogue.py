@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigengine.functions import stats as S
 from sigengine.functions.names import normalize_name
 from sigengine.operators import evaluation as E
+from sigengine.operators import model as M
 from sigengine.operators import serving
 from sigengine.operators import signals as G
 from sigengine.sources.star import fact_events, warnings_ref
@@ -259,3 +260,95 @@ def _props(spark, d):
 def _nested(spark, d):
     n = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("report")).agg(F.collect_set("l_partkey").alias("x"), F.collect_set("l_suppkey").alias("y"))
     return n.select("report", F.explode("x").alias("left_id"), "y").select("report", "left_id", F.explode("y").alias("right_id"))
+
+
+_crossed = lambda spark, d: G.first_crossing(fact_events(spark, d))
+_BACK = f"""back AS (SELECT cutoff, count(*) AS future_warnings, count(h) AS caught, CAST(trunc(coalesce(median(CASE WHEN h = 1 THEN date_diff('day', fd, warning_date) END), median(CASE WHEN h = 1 THEN date_diff('day', CAST(cutoff AS DATE), warning_date) END))) AS INT) AS median_lead_days,
+ CASE WHEN count(CASE WHEN h = 1 THEN fd END) > 0 THEN 'first_detected' ELSE 'cutoff' END AS lead_basis FROM (SELECT w.*, cutoff, h, fd FROM warn w JOIN cutoffs ON warning_date > CAST(cutoff AS DATE) LEFT JOIN (SELECT {KEY}, 1 AS h FROM sig WHERE prr > 2 AND ror > 2 AND case_count >= 3) s USING (drug_name, reaction_term)
+ LEFT JOIN (SELECT {KEY}, {_DAY} AS fd FROM crossing) x USING (drug_name, reaction_term)) z GROUP BY 1)"""
+
+
+def _backtest(spark, d):
+    hits = _sig(spark, d).filter("prr > 2 AND ror > 2 AND case_count >= 3")
+    return E.rule_backtest(hits, _crossed(spark, d), warnings_ref(spark, d), CUTOFFS).select("cutoff", "future_warnings", "caught", "median_lead_days", "lead_basis", *_r("recall"), "median_lead_months")
+
+
+_BACKSEL = "SELECT cutoff, future_warnings, caught, median_lead_days, lead_basis, round(caught / future_warnings, 4) AS recall, round(median_lead_days / 30, 1) AS median_lead_months FROM back"
+add("rule_backtest", f"{SIGNALS}, {WARN}, {CUT}, {LINE}, {_BACK} {_BACKSEL}")(_backtest)
+add("latest_backtest", f"{SIGNALS}, {WARN}, {CUT}, {LINE}, {_BACK} {_BACKSEL} ORDER BY cutoff DESC LIMIT 1")(lambda spark, d: _backtest(spark, d).orderBy(F.desc("cutoff")).limit(1))
+
+NEG = """neg AS (SELECT DISTINCT concat(p_brand, '/', CAST(p_size AS STRING)) AS drug_name, concat(p_type, '-MACHINERY') AS reaction_term FROM part WHERE p_partkey % 41 = 5)"""
+
+
+def _negatives(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 41 = 5")
+    return p.select(F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("drug_name"), F.concat("p_type", F.lit("-MACHINERY")).alias("reaction_term")).distinct()
+
+
+_CTRL = " UNION ALL ".join(
+    f"SELECT '{m}' AS method, (SELECT count(*) FROM neg) AS n_negatives, (SELECT count(*) FROM warn) AS n_positives, (SELECT count(*) FROM neg SEMI JOIN (SELECT * FROM sig WHERE {c}) USING (drug_name, reaction_term)) AS fp, (SELECT count(*) FROM warn SEMI JOIN (SELECT * FROM sig WHERE {c}) USING (drug_name, reaction_term)) AS tp" for m, c in E.CONTROL_RULES.items()
+)
+add("negative_controls", f"{SIGNALS}, {WARN}, {NEG} SELECT *, round(coalesce(fp / nullif(n_negatives, 0), 0), 4) AS fp_rate, round(coalesce(tp / nullif(n_positives, 0), 0), 4) AS recall, round(1 - coalesce(fp / nullif(n_negatives, 0), 0), 4) AS specificity FROM ({_CTRL}) c")(
+    lambda spark, d: E.control_rates(_sig(spark, d), _negatives(spark, d), warnings_ref(spark, d)).select("method", "n_negatives", "n_positives", "fp", "tp", *_r("fp_rate", "recall", "specificity"))
+)
+_labelled = lambda spark, d: E.score_matrix(_long(spark, d)).join(warnings_ref(spark, d).select(*P, F.lit(1).alias("y")), list(P), "left").na.fill(0, ["y"])
+_WIDE = f"wide AS (SELECT m.*, CASE WHEN w.warning_date IS NULL THEN 0 ELSE 1 END AS y FROM (SELECT {KEY}, " + ", ".join(f"coalesce(max(CASE WHEN method = '{m}' THEN score END), 0) AS {m}" for m in E.METHODS) + " FROM long GROUP BY 1, 2) m LEFT JOIN warn w USING (drug_name, reaction_term))"
+_CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT {KEY}, y, '{m}' AS method, {m} AS score FROM wide" for m in E.METHODS) + ")"
+_BYSCORE = "bys AS (SELECT method, score, sum(y) AS p, count(*) AS n, count(*) - sum(y) AS q FROM cells GROUP BY 1, 2)"
+add("average_precision", f"{BRANK}, {WARN}, {_WIDE}, {_CELLS}, {_BYSCORE} SELECT method, round(sum(p * tp / seen) / nullif(sum(p), 0), 6) AS average_precision FROM (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM bys WINDOW w AS (PARTITION BY method ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) c GROUP BY 1")(
+    lambda spark, d: E.average_precision(_labelled(spark, d).unpivot([*P, "y"], list(E.METHODS), "method", "score"), "y", "score", ["method"]).select("method", _round("average_precision", 6).alias("average_precision"))
+)
+_PROB = "1 / (1 + exp(-ic))"
+add("calibration_bins", f"{BSIG}, {WARN} SELECT CAST(k.bin AS INT) AS bin, round(avg(pr), 4) AS mean_pred, round(avg(y), 4) AS obs_rate, count(pr) AS n FROM (SELECT unnest(range(0, 10)) AS bin) k LEFT JOIN (SELECT {_PROB} AS pr, CASE WHEN warning_date IS NULL THEN 0 ELSE 1 END AS y FROM bayes LEFT JOIN warn USING (drug_name, reaction_term)) s ON k.bin = least(floor(pr * 10), 9) GROUP BY 1")(
+    lambda spark, d: E.calibration(_bayes(spark, d).join(warnings_ref(spark, d), list(P), "left").select(F.expr(_PROB).alias("pr"), F.col("warning_date").isNotNull().cast("int").alias("y")), "y", "pr").select("bin", "n", *_r("mean_pred", "obs_rate"))
+)
+add("mcnemar_matrix", f"{BRANK}, {WARN}, {CUT}, ev AS ({_EVAL('long', 'candidates')}), mm AS (SELECT a.method AS method_a, b.method AS method_b, count(*) FILTER (a.caught = 0 AND b.caught > 0) AS b01, count(*) FILTER (a.caught > 0 AND b.caught = 0) AS b10 FROM ev a JOIN ev b USING (cutoff) WHERE a.method < b.method GROUP BY 1, 2) SELECT *, round(least(1, 2 * list_sum(list_transform(range(0, least(b01, b10) + 1), lambda i: exp(lgamma(b01 + b10 + 1) - lgamma(i + 1) - lgamma(b01 + b10 - i + 1)))) / power(2.0, b01 + b10)), 4) AS p FROM mm")(
+    lambda spark, d: E.mcnemar_matrix(E.evaluate(_long(spark, d), warnings_ref(spark, d), CUTOFFS)).select("method_a", "method_b", "b01", "b10", *_r("p"))
+)
+_M = list(E.METHODS)
+_VS = lambda m: f"max(CASE WHEN method = '{m}' THEN CASE WHEN y = 1 THEN v10 ELSE v01 END END) AS {m}"
+_COV = lambda a, b: f"(coalesce(covar_samp({a}, {b}) FILTER (y = 1), 0) / count(*) FILTER (y = 1) + coalesce(covar_samp({a}, {b}) FILTER (y = 0), 0) / count(*) FILTER (y = 0))"
+_TESTS = " UNION ALL ".join(f"SELECT '{a}' AS method_a, '{b}' AS method_b, avg({a}) FILTER (y = 1) AS auc_a, avg({b}) FILTER (y = 1) AS auc_b, {_COV(a, a)} + {_COV(b, b)} - 2 * {_COV(a, b)} AS v FROM vs" for i, a in enumerate(_M) for b in _M[i + 1 :])
+add(
+    "delong_matrix",
+    f"""{BRANK}, {WARN}, {_WIDE}, {_CELLS}, {_BYSCORE}, placed AS (SELECT method, score, (coalesce(sum(q) OVER b, 0) + q / 2) / sum(q) OVER w AS v10, (sum(p) OVER w - coalesce(sum(p) OVER b, 0) - p / 2) / sum(p) OVER w AS v01 FROM bys WINDOW w AS (PARTITION BY method), b AS (PARTITION BY method ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ vs AS (SELECT {KEY}, y, {', '.join(map(_VS, _M))} FROM cells JOIN placed USING (method, score) GROUP BY 1, 2, 3), tests AS ({_TESTS}), zs AS (SELECT *, CASE WHEN v <= 1e-14 AND abs(auc_a - auc_b) <= 1e-14 THEN 0.0 WHEN v <= 1e-14 THEN sign(auc_a - auc_b) * CAST('inf' AS DOUBLE) ELSE (auc_a - auc_b) / sqrt(greatest(v, 1e-14)) END AS z FROM tests)
+ SELECT method_a, method_b, {_rs('auc_a', 'auc_b')}, round(z, 3) AS z, round(CASE WHEN v <= 1e-14 THEN CASE WHEN z = 0 THEN 1.0 ELSE 0.0 END WHEN abs(z) / sqrt(2) > 6 THEN 0.0 WHEN z = 0 THEN 1.0 ELSE greatest(0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 251), lambda k: exp((2 * k + 1) * ln(abs(z) / sqrt(2)) - z * z / 2 + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))))) END, 3) AS p FROM zs""",
+)(lambda spark, d: E.delong_matrix(_labelled(spark, d), "y", _M).select("method_a", "method_b", *_r("auc_a", "auc_b"), _round("z", 3).alias("z"), _round("p", 3).alias("p")))
+_over_signals("signal_lookup", lambda s: serving.lookup(s, "brand#2/11", "economy-building").select(*P, "case_count", "signal_status"), f"SELECT {KEY}, case_count, signal_status FROM sig WHERE upper(drug_name) = 'BRAND#2/11' AND upper(reaction_term) = 'ECONOMY-BUILDING' LIMIT 1")
+_over_facts("dataset_table", lambda f: G.pair_counts(f).agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("drug_name").alias("drugs"), F.count_distinct("reaction_term").alias("reactions"), F.sum("case_count").alias("cases")), "SELECT count(*) AS pairs, count(DISTINCT drug_name) AS drugs, count(DISTINCT reaction_term) AS reactions, CAST(sum(case_count) AS BIGINT) AS cases FROM pairs", f", {A}")
+_over_signals(
+    "snapshot_export",
+    lambda s: serving.snapshot(s, 2000).select("id", *P, "passes_structural_filter", *_r("robust_signal_score")),
+    f"SELECT CAST(row_number() OVER (ORDER BY passes_structural_filter DESC, robust_signal_score DESC, {KEY}) AS INT) AS id, {KEY}, passes_structural_filter, round(robust_signal_score, 4) AS robust_signal_score FROM sig WHERE passes_robust_filter ORDER BY id LIMIT 2000",
+)
+_over_facts(
+    "pair_features",
+    lambda f: f.groupBy(*P).agg(F.count_distinct("safetyreportid").alias("reports"), F.avg("age_years").alias("mean_age"), F.stddev_samp("age_years").alias("std_age"), F.avg((F.col("patient_sex_int") == 2).cast("double")).alias("female_ratio")).select(*P, "reports", *_r("mean_age", "std_age", "female_ratio")),
+    f"SELECT {KEY}, count(DISTINCT safetyreportid) AS reports, round(avg(age_years), 4) AS mean_age, round(stddev_samp(age_years), 4) AS std_age, round(avg(CASE WHEN patient_sex_int = 2 THEN 1.0 ELSE 0.0 END), 4) AS female_ratio FROM fact GROUP BY 1, 2",
+)
+_HASH = "md5(concat(drug_name, '|', reaction_term, '|42'))"
+add("undersample", f"{_FEAT} SELECT {KEY}, label FROM feat WHERE label = 1 UNION ALL SELECT {KEY}, label FROM (SELECT *, row_number() OVER (ORDER BY {_HASH}, {KEY}) AS rn FROM feat WHERE label = 0) n WHERE rn <= 5 * (SELECT count(*) FROM feat WHERE label = 1)")(lambda spark, d: M.undersample(_feat(spark, d)).select(*P, "label"))
+add("train_test_split", f"{_FEAT} SELECT {KEY}, label, CASE WHEN CAST(concat('0x', substring({_HASH}, 1, 8)) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END AS fold FROM feat")(lambda spark, d: M.split(_feat(spark, d)).select(*P, "label", "fold"))
+
+
+def _scores(spark, d):
+    feats = _feat(spark, d)
+    return M.score(M.fit(M.undersample(M.split(feats).filter("fold = 'train'"))), feats)
+
+
+add("model_scores")(_scores)
+add("predictions_top")(lambda spark, d: _scores(spark, d).filter("signal_probability >= 0.5").orderBy(F.desc("signal_probability"), *P).limit(100))
+add("bootstrap_ci")(lambda spark, d: E.summary_intervals(E.evaluate(_long(spark, d), warnings_ref(spark, d), CUTOFFS)))
+
+
+@add("ranking_stability")
+def _stability(spark, d):
+    # methods times cutoffs: a few dozen counts
+    rows = E.evaluate(_long(spark, d), warnings_ref(spark, d), CUTOFFS).select("method", "cutoff", "caught").orderBy("method", "cutoff").collect()
+    caught: dict[str, list[int]] = {}
+    for r in rows:
+        caught.setdefault(r.method, []).append(r.caught)
+    out = E.ranking_stability(caught)
+    names = list(next(iter(out.values())))
+    return spark.createDataFrame([(m, *v.values()) for m, v in out.items()], "method string, " + ", ".join(f"{n} double" for n in names))
