@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    assert QUERIES[name](spark, SF).collect() is not None
 
 
 def test_scores_rank_known_pairs_higher(spark):
