@@ -19,10 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *superseded: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: lost executors cost no recomputation.
 
     The folder is ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one is made.
+    The files of ``superseded``, earlier cuts that nothing reads any more, are removed once ``df`` is written.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -31,7 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     # Spark removes the shuffle files of earlier steps once nothing refers to them, which an idle driver would notice late
     gc.collect()
     sc._jvm.System.gc()
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    for old in superseded:
+        file = old._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return out
 
 
 def python_ready(spark: SparkSession, rows: int = 512) -> None:

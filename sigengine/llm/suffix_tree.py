@@ -120,7 +120,7 @@ def _train(state: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, held, n = pickle.loads(state["docs"])
     ids = _unpack(state["ids"])
     starts = np.repeat(np.cumsum(n) - n, n)
-    return ids, np.arange(len(ids)) - starts, np.repeat(~held, n)
+    return ids, (np.arange(len(ids)) - starts).astype(np.int32), np.repeat(~held, n)
 
 
 def _word_rows(parts: DataFrame) -> DataFrame:
@@ -143,19 +143,21 @@ def _word_rows(parts: DataFrame) -> DataFrame:
 
 
 def _counted(words: DataFrame, least: int) -> DataFrame:
-    """(chunk, counts, known, tracked, rare): each word's training count; sums over words that the chunk is the first to hold."""
+    """(chunk, counts, symbols, known, tracked, rare): each word's training count, the symbols of those that are no rarer; sums over words that the chunk is the first to hold."""
     by = Window.partitionBy("token")
-    c = words.select("chunk", "idx", F.sum("n").over(by).alias("c"), (F.row_number().over(by.orderBy("chunk")) == 1).alias("first"))
+    c = words.select("chunk", "idx", "token", F.sum("n").over(by).alias("c"), (F.row_number().over(by.orderBy("chunk")) == 1).alias("first"))
+    c = c.withColumn("symbol", F.when(F.col("c") >= least, F.xxhash64("token").bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))).drop("token")
 
     def pack(key, pdf):
         import pandas as pd
 
         counts = np.zeros(len(pdf), np.int64)
-        counts[pdf["idx"].to_numpy()] = pdf["c"].to_numpy()
+        symbols = np.zeros(len(pdf), np.int64)
+        counts[pdf["idx"].to_numpy()], symbols[pdf["idx"].to_numpy()] = pdf["c"].to_numpy(), pdf["symbol"].to_numpy()
         own = pdf["c"].to_numpy()[pdf["first"].to_numpy(bool)]
-        return pd.DataFrame({"chunk": [key[0]], "counts": [_pack(counts)], "known": [int((own > 0).sum())], "tracked": [int((own >= least).sum())], "rare": [int(own[own < least].sum())]})
+        return pd.DataFrame({"chunk": [key[0]], "counts": [_pack(counts)], "symbols": [_pack(symbols[counts >= least])], "known": [int((own > 0).sum())], "tracked": [int((own >= least).sum())], "rare": [int(own[own < least].sum())]})
 
-    return c.groupBy("chunk").applyInPandas(pack, "chunk long, counts binary, known long, tracked long, rare long")
+    return c.groupBy("chunk").applyInPandas(pack, "chunk long, counts binary, symbols binary, known long, tracked long, rare long")
 
 
 @dataclass(frozen=True)
@@ -174,20 +176,15 @@ class _Chunk:
     """What a chunk knows: its words' counts and the transitions it was sent, depth by depth."""
 
     def __init__(self, r: dict, root: _Root, p: TreeParams):
-        import pyarrow as pa
-        import xxhash
-
         self.root, self.params, self.sent = root, p, [_unpack(x) if x is not None else None for x in r.get("sent", [])]
         self.ids, self.place, self.train = _train(r)
         self.counts = _unpack(r["counts"])
-        words = pa.decompress(r["words"], r["words_size"], "zstd", asbytes=True).split(b" ")
         tracked = self.counts >= root.least
-        symbol = np.zeros(len(words), np.uint64)  # zero: the class of rarer words
-        at = np.flatnonzero(tracked)
-        symbol[at] = np.array([xxhash.xxh3_64_intdigest(words[i]) | 1 for i in at], np.uint64)
+        symbol = np.zeros(len(self.counts), np.uint64)  # zero: the class of rarer words
+        symbol[tracked] = _unpack(r["symbols"]).view(np.uint64)
         p0 = np.where(tracked, root.p(self.counts), root.rare)
-        self.word = root.p(self.counts)[self.ids]
-        self.within = np.where(tracked, 1.0, root.p(self.counts) / root.rare )[self.ids]
+        self.p0 = root.p(self.counts)
+        self.within = np.where(tracked, 1.0, self.p0 / root.rare)
         self.symbol, self.tracked = symbol[self.ids], tracked[self.ids]
         self.now = p0[self.ids]  # probability of each symbol by the longest kept suffix so far
         self.eligible = np.ones(len(self.ids), bool)  # the context of the depth last read is long and frequent enough
@@ -199,18 +196,24 @@ class _Chunk:
 
     def _extend(self) -> None:
         """To contexts one symbol longer: the one before it is the context that stood there, then its symbol."""
-        before = np.roll(self.context, 1)
-        with np.errstate(over="ignore"):
-            self.context = mix(before * _P + np.roll(self.symbol, 1) + np.uint64(self.depth + 1))
+        for i, j in reversed(self._blocks()):  # from the end, so that the contexts before are still there
+            k = max(i, 1)
+            with np.errstate(over="ignore"):
+                self.context[k:j] = mix(self.context[k - 1 : j - 1] * _P + self.symbol[k - 1 : j - 1] + np.uint64(self.depth + 1))
         enough = getattr(self, "frequent", self.tracked)
         self.eligible = np.roll(self.eligible & enough, 1) & (self.place > self.depth)
         if len(self.eligible):
             self.eligible[0] = False
         self.depth += 1
 
-    def keys(self) -> np.ndarray:
+    def _blocks(self) -> list[tuple[int, int]]:
+        """Bounds of blocks of tokens: what is computed on the way takes a block's memory, not a chunk's."""
+        n, size = len(self.ids), 1 << 18
+        return [(i, min(n, i + size)) for i in range(0, n, size)]
+
+    def _keys(self, at: slice | np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix(self.context * _P + self.symbol)
+            return mix(self.context[at] * _P + self.symbol[at])
 
     def _read(self, s: np.ndarray | None) -> None:
         """Apply the transitions sent for this depth: rows of (key, count, occurrences of the context, kept)."""
@@ -218,43 +221,55 @@ class _Chunk:
         if s is None or not len(s):
             return
         s = s.reshape(-1, 4)
-        sent = np.ascontiguousarray(s[:, 0]).view(np.uint64)
-        keys = self.keys()
-        at = np.minimum(np.searchsorted(sent, keys), len(sent) - 1)
-        hit = self.eligible & (sent[at] == keys)
-        count, total, kept = (s[at, k] for k in (1, 2, 3))
-        m = self.params.smoothing
-        use = hit & (kept == 1)
-        self.now = np.where(use, (count + m * self.now) / (total + m), self.now)
-        self.frequent = hit & (count >= self.root.least) & self.tracked
+        sent, m = np.ascontiguousarray(s[:, 0]).view(np.uint64), self.params.smoothing
+        for i, j in self._blocks():
+            t = slice(i, j)
+            keys = self._keys(t)
+            at = np.minimum(np.searchsorted(sent, keys), len(sent) - 1)
+            hit = self.eligible[t] & (sent[at] == keys)
+            count, total, kept = (s[at, k] for k in (1, 2, 3))
+            self.now[t] = np.where(hit & (kept == 1), (count + m * self.now[t]) / (total + m), self.now[t])
+            self.frequent[t] = hit & (count >= self.root.least) & self.tracked[t]
 
     def transitions(self) -> tuple[np.ndarray, ...]:
         """Distinct transitions of the next depth: key, context, training occurrences here, probability by the suffix."""
         self._extend()
-        at = np.flatnonzero(self.eligible)
-        keys, first, inverse = np.unique(self.keys()[at], return_index=True, return_inverse=True)
-        n = np.bincount(inverse, self.train[at], len(keys)).astype(np.int64)
-        return keys.view(np.int64), self.context[at][first].view(np.int64), n, self.now[at][first]
+        at = np.flatnonzero(self.eligible).astype(np.int32)
+        keys = np.empty(len(at), np.uint64)
+        for i in range(0, len(at), 1 << 18):
+            keys[i : i + (1 << 18)] = self._keys(at[i : i + (1 << 18)])
+        order = np.argsort(keys).astype(np.int32)
+        keys, at = keys[order], at[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+        n = np.add.reduceat(self.train[at], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        at = at[first]
+        return keys[first].view(np.int64), self.context[at].view(np.int64), n, self.now[at]
+
+
+def _each(batches) -> Iterator[dict]:
+    """The rows of the batches, one by one: a batch holds several chunks."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
 
 
 def _transition_rows(state: DataFrame, root: _Root, p: TreeParams) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            for r in b.to_pylist():
-                keys, contexts, n, q = _Chunk(r, root, p).transitions()
-                for i in range(0, len(keys), 50_000):
-                    j = min(len(keys), i + 50_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(j - i, r["chunk"], np.int64)), pa.array(keys[i:j]), pa.array(contexts[i:j]), pa.array(n[i:j].astype(np.int32)), pa.array(q[i:j].astype(np.float32))], ["chunk", "key", "context", "n", "q"]
-                    )
+        for r in _each(batches):
+            keys, contexts, n, q = _Chunk(r, root, p).transitions()
+            for i in range(0, len(keys), 50_000):
+                j = min(len(keys), i + 50_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(j - i, r["chunk"], np.int64)), pa.array(keys[i:j]), pa.array(contexts[i:j]), pa.array(n[i:j].astype(np.int32)), pa.array(q[i:j].astype(np.float32))], ["chunk", "key", "context", "n", "q"]
+                )
 
     return state.mapInArrow(run, "chunk long, key long, context long, n int, q float")
 
 
-def _sent(rows: DataFrame, root: _Root, p: TreeParams) -> DataFrame:
-    """(chunk, more): the transitions a chunk holds whose context is kept, or that may be contexts themselves."""
+def _sent(rows: DataFrame, root: _Root, p: TreeParams) -> tuple[DataFrame, DataFrame]:
+    """(chunk, more): the transitions a chunk holds whose context is kept, or that may be contexts themselves; and the cut that this reads."""
     total = rows.groupBy("key").agg(F.sum("n").alias("c"), F.first("context").alias("context"), F.first("q").alias("q"))
     seen = F.col("c") > 0
     by_context = total.groupBy("context").agg(
@@ -282,7 +297,7 @@ def _sent(rows: DataFrame, root: _Root, p: TreeParams) -> DataFrame:
         a = a[np.argsort(a[:, 0].copy().view(np.uint64))]
         return pd.DataFrame({"chunk": [key[0]], "more": [_pack(a.reshape(-1))]})
 
-    return useful.groupBy("chunk").applyInPandas(pack, "chunk long, more binary")
+    return useful.groupBy("chunk").applyInPandas(pack, "chunk long, more binary"), by_context
 
 
 def score_texts(docs: DataFrame, held: Column, p: TreeParams = TreeParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,27 +318,28 @@ def score_texts(docs: DataFrame, held: Column, p: TreeParams = TreeParams(), id_
     # the class of rarer words also holds the unknown words, which count as one
     rare = (rare_tokens + p.lump * (known - tracked + 1)) / (tokens + p.lump * (known + 1))
     root = _Root(tokens, known, least, rare, p.lump)
-    state = cut(parts.join(counted.select("chunk", "counts"), "chunk").withColumn("sent", F.array().cast("array<binary>")))
+    state = cut(parts.select("chunk", "docs", "ids").join(counted.select("chunk", "counts", "symbols"), "chunk").withColumn("sent", F.array().cast("array<binary>")), parts, counted)
     del parts, counted
     for _ in range(p.depth):
-        more = _sent(_transition_rows(state, root, p), root, p)
-        state = cut(state.join(more, "chunk", "left").withColumn("sent", F.concat("sent", F.array("more"))).drop("more"))
+        more, contexts = _sent(_transition_rows(state, root, p), root, p)
+        more = cut(more, contexts)  # what its shuffles take is free again before the chunks are rewritten
+        state = cut(state.join(more, "chunk", "left").withColumn("sent", F.concat("sent", F.array("more"))).drop("more"), state, more)
+        del more, contexts
 
     def scored(batches):
         import pyarrow as pa
 
-        for b in batches:
-            for r in b.to_pylist():
-                c = _Chunk(r, root, p)
-                ids, held_, n = pickle.loads(r["docs"])
-                at = np.cumsum(n) - n
-                known_ = np.add.reduceat((c.counts[c.ids] > 0).astype(np.int64), at)
-                base = np.add.reduceat(np.log10(c.word), at)
-                model = np.add.reduceat(np.log10(c.now * c.within), at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, id_type), pa.array(held_), pa.array(n), pa.array(known_), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(model)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for r in _each(batches):
+            c = _Chunk(r, root, p)
+            ids, held_, n = pickle.loads(r["docs"])
+            at = np.cumsum(n) - n
+            known_ = np.add.reduceat(c.counts[c.ids] > 0, at, dtype=np.int64)
+            base = np.add.reduceat(np.log10(c.p0)[c.ids], at)
+            model = np.add.reduceat(np.log10(c.now) + np.log10(c.within)[c.ids], at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, id_type), pa.array(held_), pa.array(n), pa.array(known_), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(model)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     from pyspark.sql.pandas.types import to_arrow_type
 
