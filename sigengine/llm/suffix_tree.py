@@ -1,8 +1,8 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 The symbols are the training words seen at least ``K`` times, the end of a text, and one class for all rarer words, within
-which the smoothed word frequencies hold; K grows with the square root of the training tokens, so the tree grows with the
-corpus. A context of one or more symbols is kept if it occurs K times and the distribution of the symbols after it
+which the smoothed word frequencies hold; K is the same for every size of input, so that no context is lost as the corpus
+grows. A context of one or more symbols is kept if it occurs K times and the distribution of the symbols after it
 diverges from that of the longest kept suffix by more than a BIC penalty. Distributions are smoothed towards that suffix's,
 and the longest kept suffix of what was read scores the next symbol.
 
@@ -35,11 +35,11 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 class TreeParams:
     depth: int = 2
     least_count: int = 16
-    root_share: float = 0.125  # K is that times the square root of the training tokens, least_count at least
+    root_share: float = 0.0  # if set, K is that times the square root of the training tokens, least_count at least
     smoothing: float = 20.0  # weight of the suffix's distribution, in occurrences
     penalty: float = 1.0  # times ln(occurrences) for each symbol seen, against twice the log likelihood ratio
     chunk_tokens: int = 4_000_000
-    broadcast_contexts: int = 200_000  # with room for a few frequent transitions each
+    broadcast_contexts: int = 200_000  # with their frequent transitions
     lump: float = 0.5  # added to each word's count, and to that of unknown words
 
 
@@ -276,7 +276,7 @@ def _sent(rows: DataFrame, root: _Root, p: TreeParams) -> tuple[DataFrame, DataF
         F.sum("c").alias("total"),
         F.sum(F.when(seen, F.col("c") * F.ln(F.col("c") / F.col("q")))).alias("ratio"),
         F.count_if(seen).alias("seen"),
-        F.collect_list(F.when(F.col("c") >= root.least, F.struct("key", "c"))).alias("frequent"),  # at most total / K of them
+        F.collect_list(F.when(F.col("c") >= root.least, F.struct("key", "c"))).alias("frequent"),  # at most one a symbol
     )
     ratio = 2 * (F.col("ratio") - F.col("total") * F.ln("total"))
     kept = (F.col("total") >= root.least) & (ratio > p.penalty * F.col("seen") * F.ln("total"))
@@ -284,7 +284,7 @@ def _sent(rows: DataFrame, root: _Root, p: TreeParams) -> tuple[DataFrame, DataF
     # only transitions of kept contexts, and those that may be contexts themselves, are shuffled with their chunks
     kept = by_context.filter("kept").select("context", "total")
     frequent = by_context.filter("NOT kept").select(F.explode("frequent").alias("x"), "total").select("x.key", "x.c", "total")
-    if by_context.count() <= p.broadcast_contexts:
+    if (by_context.agg(F.sum(1 + F.size("frequent"))).first()[0] or 0) <= p.broadcast_contexts:
         kept, frequent = F.broadcast(kept), F.broadcast(frequent)
     own = rows.join(kept, "context").select("chunk", "key", "n", "total")
     own = own.withColumn("c", F.sum("n").over(Window.partitionBy("key"))).select("chunk", "key", "c", "total", F.lit(1).cast("long").alias("kept"))

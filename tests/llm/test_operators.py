@@ -98,6 +98,17 @@ def test_suffix_tree(spark, docs, edges):
     assert r["score"] == pytest.approx(want)
 
 
+def test_suffix_tree_keeps_contexts_as_the_corpus_grows(spark):
+    from sigengine.llm.suffix_tree import score_texts
+
+    own = [(i, "rare pair stands here") for i in range(21)]
+    for filler in (5, 400):
+        d = spark.createDataFrame(own + [(100 + i, "some filler words of no import " * 20) for i in range(filler)], "doc_id long, text string")
+        r = score_texts(d, F.col("doc_id") == 0).filter("doc_id = 0").first()
+        # each of the four transitions is seen 20 times, always the same: at least one half by a weight of 20
+        assert r["score"] > np.log10(0.5) * 4 + np.log10(20.5 / (r["train_tokens"] + 6))
+
+
 def test_near_duplicates(spark, docs, edges):
     from sigengine.llm.hyperminhash import keep_documents, near_duplicates
 
