@@ -25,13 +25,34 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "secret")
 KINDS = BASE + ADDED
 
+#: Length of an IBAN by its country: the registry of ISO 13616 and the countries that use the format without an entry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """An IBAN as long as its country says, so that what follows cannot join it; of an unlisted country, the whole run.
+
+    Only the first four characters are consumed: what looks like an IBAN cannot hide one that begins within it.
+    """
+    known = "|".join(x.replace(" ", "|") for x in IBAN_LENGTHS.values())
+    rest = r"[0-9]{2}(?:\x20?+[A-Z0-9])"
+    each = [rf"(?:{x.replace(' ', '|')}){rest}{{{n - 4}}}+" for n, x in IBAN_LENGTHS.items()]
+    return rf"(?<![A-Za-z0-9])(?=((?:{'|'.join(each)}|(?!{known})[A-Z]{{2}}{rest}{{11,30}}+)(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+
+
 # Fixed patterns. Leading look-behinds (or \G, the end of the match before) only skip starts that cannot match.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": _iban(),  # the span is group 1
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
 }
@@ -119,22 +140,21 @@ def _proposed(kind: str, text: Column, params: PiiParams) -> Column:
         parts = F.zip_with(
             F.slice(gaps, F.lit(1), F.size(found)),
             found,
-            lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), F.lower(F.right(g, F.lit(params.context_chars))).alias("before"), m.alias("m")),
+            lambda g, m: F.struct(F.length(g).alias("g"), (F.lit(4) if kind == "iban" else F.length(m)).alias("n"), F.lower(F.right(g, F.lit(params.context_chars))).alias("before"), m.alias("m")),
         )
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,before:string,m:string>>").alias("spans"))
-        spans = F.aggregate(
-            parts,
-            empty,
-            lambda acc, p: F.struct(
-                (acc["at"] + p["g"] + p["n"]).alias("at"),
-                F.when(
-                    _passes(kind, p["m"]),
-                    F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["g"]).alias("s"), (acc["at"] + p["g"] + p["n"]).alias("e"), p["before"].alias("before"), p["m"].alias("m")))),
-                )
-                .otherwise(acc["spans"])
-                .alias("spans"),
-            ),
-        )["spans"]
+        empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.array().cast("array<struct<s:int,e:int,before:string,m:string>>").alias("spans"))
+
+        def step(acc: Column, p: Column) -> Column:
+            s = acc["at"] + p["g"]
+            e = s + F.length(p["m"])
+            taken = (s >= acc["end"]) & _passes(kind, p["m"])
+            return F.struct(
+                (s + p["n"]).alias("at"),
+                F.when(taken, e).otherwise(acc["end"]).alias("end"),
+                F.when(taken, F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e"), p["before"].alias("before"), p["m"].alias("m"))))).otherwise(acc["spans"]).alias("spans"),
+            )
+
+        spans = F.aggregate(parts, empty, step)["spans"]
         checked = params.checksum_gain if kind in ("card", "iban") else 0.0
         return F.transform(
             spans,
@@ -148,7 +168,7 @@ def _proposed(kind: str, text: Column, params: PiiParams) -> Column:
 
     none = F.array().cast("array<struct<kind:string,s:int,e:int,score:double>>")
     pattern = PATTERNS[kind]
-    matches = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    matches = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban"))).alias("found"))
     out = F.when(GATES[kind](text), let(matches, placed)).otherwise(none)
     return F.filter(out, lambda x: x["score"] >= params.least_score) if kind in ADDED else out
 

@@ -176,6 +176,23 @@ def test_pii(spark, docs, edges):
         assert {k: r[k] for k in want} == want, odd[r["doc_id"]]
 
 
+def test_iban_ends_where_its_country_says(spark):
+    from sigengine.llm.pii import mask_pii, pii_report
+
+    de, gb, spaced = "DE89370400440532013000", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00"
+    texts = {
+        f"{de} Please pay": "<IBAN> Please pay",
+        f"{spaced} 12 March": "<IBAN> 12 March",
+        f"IBAN {de} BIC COBADEFFXXX": "IBAN <IBAN> BIC COBADEFFXXX",
+        f"{de} {gb} {spaced}": "<IBAN> <IBAN> <IBAN>",
+        f"AB12 {de}; BE12 {spaced}": "AB12 <IBAN>; BE12 <IBAN>",
+        f"{de}1 {de}A x{de} DE88370400440532013000": f"{de}1 {de}A x{de} DE88370400440532013000",
+    }
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["text"] for r in mask_pii(d).collect()} == set(texts.values())
+    assert pii_report(d).filter("doc_id = 0").first()["spans"] == "iban:0:22"
+
+
 def test_quality_classifier(spark, edges):
     from sigengine.llm.convnet import fit, keep_documents, score
 
