@@ -1,11 +1,11 @@
 """Personal data by regular expressions, checksums and context words, in DataFrame functions only.
 
-Patterns propose spans (code points, end exclusive); Luhn and mod-97 confirm card and IBAN numbers; words before a span
-raise or lower its score. Base kinds (email, ip, card, phone) keep every span that passes its own test; the kinds the
+Patterns propose spans (code points, end exclusive); Luhn and mod-97 confirm card and IBAN numbers; words in the 40
+characters before and after a span raise its score. Base kinds (email, ip, card, phone) keep every span that passes its own test; the kinds the
 method adds (iban, ssn, secret) stay if their score reaches the limit.
 
-Positions come from two native calls a kind: ``split`` gives the gaps between the matches and ``regexp_extract_all`` the
-matches, so a span's start is the length of all before it. Patterns are possessive and anchored at the start of a run,
+Positions come from three native calls a kind: ``split`` gives the gaps between the matches and ``regexp_extract_all`` the
+matches and what follows each, so a span's start is the length of all before it. Patterns are possessive and anchored at the start of a run,
 so that a text of one very long run is read in linear time; the matches are those of the plain patterns.
 
 Defined results: null and empty texts have no spans; repeated rows and tied ids are rows of their own; an empty table
@@ -36,14 +36,11 @@ IBAN_LENGTHS = {
 
 
 def _iban() -> str:
-    """An IBAN as long as its country says, so that what follows cannot join it; of an unlisted country, the whole run.
-
-    Only the first four characters are consumed: what looks like an IBAN cannot hide one that begins within it.
-    """
+    """An IBAN as long as its country says, so that what follows cannot join it; of an unlisted country, the whole run."""
     known = "|".join(x.replace(" ", "|") for x in IBAN_LENGTHS.values())
     rest = r"[0-9]{2}(?:\x20?+[A-Z0-9])"
     each = [rf"(?:{x.replace(' ', '|')}){rest}{{{n - 4}}}+" for n, x in IBAN_LENGTHS.items()]
-    return rf"(?<![A-Za-z0-9])(?=((?:{'|'.join(each)}|(?!{known})[A-Z]{{2}}{rest}{{11,30}}+)(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+    return rf"(?:{'|'.join(each)}|(?!{known})[A-Z]{{2}}{rest}{{11,30}}+)(?![A-Za-z0-9])"
 
 
 # Fixed patterns. Leading look-behinds (or \G, the end of the match before) only skip starts that cannot match.
@@ -52,7 +49,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": _iban(),  # the span is group 1
+    "iban": rf"(?<![A-Za-z0-9]){_iban()}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
 }
@@ -66,7 +63,7 @@ GATES = {
     "ssn": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-"),
     "secret": lambda t: F.contains(t, F.lit("AKIA")),
 }
-#: Words before a span that make its kind likelier.
+#: Words about a span that make its kind likelier.
 CONTEXT = {
     "email": "mail|contact|write",
     "ip": "ip|host|address|server",
@@ -120,6 +117,17 @@ def mod97(iban: Column) -> Column:
     return rest(F.replace(iban, F.lit(" "), F.lit(""))) == 1
 
 
+def _grouped(kind: str, after: int) -> str:
+    """The kind's pattern with the span as group 1 and up to ``after`` characters that follow it as group 2.
+
+    Of an IBAN only the first four characters are consumed: what looks like one cannot hide one that begins within it.
+    """
+    follows = rf"((?s:.{{0,{after}}}))"
+    if kind == "iban":
+        return rf"(?<![A-Za-z0-9])(?=({_iban()}){follows})[A-Z]{{2}}[0-9]{{2}}"
+    return rf"({PATTERNS[kind]})(?={follows})"
+
+
 def _passes(kind: str, m: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
@@ -138,20 +146,31 @@ def _proposed(kind: str, text: Column, params: PiiParams) -> Column:
     def placed(x: Column) -> Column:
         gaps, found = x["gaps"], x["found"]
         parts = F.zip_with(
-            F.slice(gaps, F.lit(1), F.size(found)),
-            found,
-            lambda g, m: F.struct(F.length(g).alias("g"), (F.lit(4) if kind == "iban" else F.length(m)).alias("n"), F.lower(F.right(g, F.lit(params.context_chars))).alias("before"), m.alias("m")),
+            F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))),
+            x["after"],
+            lambda y, a: F.struct(
+                y["gap"].alias("gap"),
+                F.length(y["gap"]).alias("g"),
+                (F.lit(4) if kind == "iban" else F.length(y["m"])).alias("n"),
+                y["m"].alias("m"),
+                a.alias("after"),
+            ),
+        )
+        empty = F.struct(
+            F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit("").alias("last"), F.array().cast("array<struct<s:int,e:int,about:string>>").alias("spans")
         )
-        empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.array().cast("array<struct<s:int,e:int,before:string,m:string>>").alias("spans"))
+        last = lambda *texts: F.right(F.concat(*texts), F.lit(params.context_chars))
 
         def step(acc: Column, p: Column) -> Column:
             s = acc["at"] + p["g"]
             e = s + F.length(p["m"])
             taken = (s >= acc["end"]) & _passes(kind, p["m"])
+            about = F.lower(F.concat_ws("\n", last(acc["last"], p["gap"]), p["after"]))
             return F.struct(
                 (s + p["n"]).alias("at"),
                 F.when(taken, e).otherwise(acc["end"]).alias("end"),
-                F.when(taken, F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e"), p["before"].alias("before"), p["m"].alias("m"))))).otherwise(acc["spans"]).alias("spans"),
+                last(acc["last"], p["gap"], F.left(p["m"], p["n"])).alias("last"),
+                F.when(taken, F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e"), about.alias("about"))))).otherwise(acc["spans"]).alias("spans"),
             )
 
         spans = F.aggregate(parts, empty, step)["spans"]
@@ -162,13 +181,13 @@ def _proposed(kind: str, text: Column, params: PiiParams) -> Column:
                 F.lit(kind).alias("kind"),
                 y["s"].alias("s"),
                 y["e"].alias("e"),
-                F.least(F.lit(1.0), F.lit(START[kind] + checked) + F.when(y["before"].rlike(CONTEXT[kind]), F.lit(params.context_gain)).otherwise(F.lit(0.0))).alias("score"),
+                F.least(F.lit(1.0), F.lit(START[kind] + checked) + F.when(y["about"].rlike(CONTEXT[kind]), F.lit(params.context_gain)).otherwise(F.lit(0.0))).alias("score"),
             ),
         )
 
     none = F.array().cast("array<struct<kind:string,s:int,e:int,score:double>>")
-    pattern = PATTERNS[kind]
-    matches = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban"))).alias("found"))
+    pattern = _grouped(kind, params.context_chars)
+    matches = F.struct(F.split(text, pattern).alias("gaps"), *[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(name) for i, name in ((1, "found"), (2, "after"))])
     out = F.when(GATES[kind](text), let(matches, placed)).otherwise(none)
     return F.filter(out, lambda x: x["score"] >= params.least_score) if kind in ADDED else out
 

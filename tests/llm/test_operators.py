@@ -193,6 +193,24 @@ def test_iban_ends_where_its_country_says(spark):
     assert pii_report(d).filter("doc_id = 0").first()["spans"] == "iban:0:22"
 
 
+def test_context_is_what_stands_about_a_span(spark):
+    from sigengine.llm.pii import mask_pii, pii_report
+
+    far = "x" * 25
+    texts = {
+        "social security numbers 123-45-6789, 987-65-4321": "social security numbers <SSN>, <SSN>",
+        "\U0001f600 123-45-6789 (SSN)": "\U0001f600 <SSN> (SSN)",
+        f"123-45-6789 {far} {far} ssn": f"123-45-6789 {far} {far} ssn",
+        f"ssn {far} 123-45-6789 {far} 123-45-6780": f"ssn {far} <SSN> {far} 123-45-6780",
+        "123-45-6789, 987-65-4321 social": "<SSN>, <SSN> social",
+        "DE89370400440532013000 123-45-6789\nbank": "<IBAN> 123-45-6789\nbank",
+    }
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["text"] for r in mask_pii(d).collect()} == set(texts.values())
+    got = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii_report(d).collect()}
+    assert got[0] == ("ssn:24:35,ssn:37:48", "0.60,0.60") and got[1] == ("ssn:2:13", "0.60") and got[5] == ("iban:0:22", "1.00")
+
+
 def test_quality_classifier(spark, edges):
     from sigengine.llm.convnet import fit, keep_documents, score
 
