@@ -55,9 +55,9 @@ FAMILIES = (
     ("cc-by-nd", "cc by nd", r"cc by nd(?: [234] 0)?", r"cc by nd 4 0", 8),
     ("cc-by-sa", "cc by sa", r"cc by sa(?: [234] 0)?", r"cc by sa 4 0", 8),
     ("cc-by", "cc by", r"cc by(?: [234] 0)?", r"cc by 4 0", 6),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial", r"cc by nc 4 0", 8),
-    ("cc-by-sa", "sharealike", r"creative commons attribution share ?alike", r"cc by sa 4 0", 8),
-    ("cc-by", "creative commons", r"creative commons attribution", r"cc by 4 0", 6),
+    ("cc-by-nc", "noncommercial|non commercial|cc by nc", r"creative commons attribution non ?commercial", r"cc by nc 4 0", 8),
+    ("cc-by-sa", "sharealike|share alike|cc by sa", r"creative commons attribution share ?alike", r"cc by sa 4 0", 8),
+    ("cc-by", "creative commons|cc by", r"creative commons attribution", r"cc by 4 0", 6),
     ("unlicense", "unlicense", r"unlicense", r"unlicense", 6),
     ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl", 6),
     ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib", 6),
@@ -69,7 +69,7 @@ FAMILIES = (
     ("ofl-1.1", "open font|ofl", r"(?:sil )?open font license", r"ofl 1 1", 8),
     ("odbl", "open database|odbl", r"open database license", r"odbl 1 0", 8),
     ("public-domain", "public domain", r"public domain", r"public domain", 5),
-    ("proprietary", "all rights reserved", r"all rights reserved", r"proprietary", 4),
+    ("proprietary", "all rights reserved|proprietary", r"all rights reserved", r"proprietary", 4),
 )
 
 #: template, weight: the surer ones come first

@@ -149,6 +149,44 @@ def test_licenses(spark, docs, edges):
     assert license_scan(edges.limit(0)).count() == 0
 
 
+def texts_of(pattern):
+    """All texts that a pattern of branches, optional parts and sets matches."""
+    from re import _parser
+
+    def every(items):
+        out = [""]
+        for op, x in items:
+            name = str(op)
+            if name == "LITERAL":
+                own = [chr(x)]
+            elif name == "IN":
+                own = [chr(c) for _, c in x]
+            elif name == "SUBPATTERN":
+                own = every(x[3])
+            elif name == "BRANCH":
+                own = [t for branch in x[1] for t in every(branch)]
+            else:
+                assert name == "MAX_REPEAT" and x[:2] == (0, 1)
+                own = ["", *every(x[2])]
+            out = [a + b for a in out for b in own]
+        return out
+
+    return every(_parser.parse(pattern))
+
+
+def test_license_gates_let_pass_what_their_rules_match():
+    from sigengine.llm.license_scan import FAMILIES, scan_text
+
+    for label, keyword, name, spdx, _ in FAMILIES:
+        for t in texts_of(name) + texts_of(spdx):
+            assert any(k in t for k in keyword.split("|")), (label, t)
+    labels = lambda t: scan_text(t)[5]
+    assert labels("under the Creative Commons Attribution-Non-Commercial license") == "cc-by-nc"
+    assert labels("Creative Commons Attribution-Share Alike 4.0") == "cc-by-sa"
+    assert labels("Creative Commons Attribution-NonCommercial") == "cc-by-nc" and labels("Creative Commons Attribution 4.0") == "cc-by"
+    assert labels("SPDX-License-Identifier: proprietary") == "proprietary"
+
+
 def test_language(spark, docs, edges):
     from sigengine.llm.centroid_langid import fit, predict
 
