@@ -32,7 +32,8 @@ class HnswParams:
     beam: int = 48
     shard_rows: int = 16_384
     batch: int = 256
-    audit: int = 64  # queries of an audit
+    audit: int = 64  # queries of an audit, at least
+    audit_links: int = 500  # that an audit must find, or else all queries are scanned
     recall: float = 0.98
     seed: int = 5
     margin: float = 1e-4  # of single precision
@@ -176,8 +177,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def links(queries: np.ndarray, graph: Graph, exact: np.ndarray, p: HnswParams) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, graph row) of all pairs found of cosine at least ``p.cosine``; both inputs hold unit rows, ``exact`` the graph's."""
+def links(queries: np.ndarray, graph: Graph, exact: np.ndarray, p: HnswParams, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, graph row) of all pairs found of cosine at least ``p.cosine``; both inputs hold unit rows, ``exact`` the graph's.
+
+    With ``same`` the queries are the graph's rows, and a row is no link of itself. The beam is widened until it finds the
+    share ``p.recall`` of the links of an audit; where links are too few to judge by, the audit becomes a scan of all queries.
+    """
     low, n = np.float32(p.cosine - p.margin), len(exact)
     q32 = queries.astype(np.float32)
 
@@ -200,16 +205,25 @@ def links(queries: np.ndarray, graph: Graph, exact: np.ndarray, p: HnswParams) -
     def joined(found: list) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
+    def keys(found: list) -> np.ndarray:
+        a, b = joined(found)
+        return (a * n + b)[a != b] if same else a * n + b
+
     every, ef = np.arange(len(queries)), min(p.beam, n)
-    audit = np.random.default_rng(p.seed + 1).permutation(len(queries))[: p.audit]
-    want = scan(audit)
-    total = sum(len(a) for a, _ in want)
-    while ef < n:
-        got = sum(len(a) for a, _ in beam(audit, ef))
-        if got >= p.recall * total:
-            break
-        ef = min(2 * ef, n)
-    a, b = joined(beam(every, ef) if ef < n else scan(every))
+    order = np.random.default_rng(p.seed + 1).permutation(len(queries))
+    want, read = [], 0
+    while read < len(order) and (read < p.audit or len(keys(want)) < p.audit_links):
+        size = max(p.audit, read)
+        want += scan(order[read : read + size])
+        read += size
+    if read >= len(order):
+        a, b = joined(want)
+    else:
+        audit, wanted = order[:read], keys(want)
+        while ef < n and np.isin(wanted, keys(beam(audit, ef))).sum() < p.recall * len(wanted):
+            ef = min(2 * ef, n)
+        a, b = joined(beam(every, ef) if ef < n else scan(every))
+    a, b = (a[a != b], b[a != b]) if same else (a, b)
     a, b = np.unique(np.stack([a, b], 1), axis=0).T if len(a) else (a, b)
     ok = np.zeros(len(a), bool)
     for i in range(0, len(a), 100_000):
@@ -269,8 +283,8 @@ def near_vectors(vectors: DataFrame, p: HnswParams = HnswParams(), id_col: str =
                 same = batch.column("s")[k].as_py() == batch.column("t")[k].as_py()
                 ids, m, x, g = pickle.loads(batch.column("blob_s")[k].as_py())
                 if same:
-                    a, b = links(x, g, x, p)
-                    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+                    a, b = links(x, g, x, p, same=True)
+                    a, b = np.minimum(a, b), np.maximum(a, b)
                     a, b = np.unique(np.stack([a, b], 1), axis=0).T if len(a) else (a, b)  # found from either side
                     all_ids, all_m = ids, m
                 else:

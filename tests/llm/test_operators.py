@@ -302,6 +302,32 @@ def test_vectors(spark):
     assert near_vectors(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_few_links_are_not_left_to_a_poor_graph(same):
+    from sigengine.llm.hnsw import HnswParams, links, unit
+
+    class Poor:
+        """Finds nothing but a row itself."""
+
+        def __init__(self, x):
+            self.x = x
+
+        def search(self, q, ef):
+            sim = q @ self.x.T
+            ids = np.argsort(-sim, 1)[:, :ef]
+            sim = np.take_along_axis(sim, ids, 1)
+            ids[(sim < 0.9999) & (sim > 0.9)] = -1
+            return ids, sim
+
+    r = np.random.default_rng(1)
+    x = unit(r.standard_normal((2000, 32)))
+    x[[10, 20]] = unit(x[[11, 21]] + r.standard_normal((2, 32)) * 0.01)
+    y = x if same else unit(np.concatenate([r.standard_normal((1500, 32)), x[[11, 21]] + r.standard_normal((2, 32)) * 0.01]))
+    a, b = links(x, Poor(y.astype(np.float32)), y, HnswParams(), **({"same": True} if same else {}))
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ y.T >= 0.98), strict=True) if not same or i != j}
+    assert len(want) == 4 and set(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
 def test_packing(spark, docs, edges):
     import public_tokenizers as P
     from tokenizers import Tokenizer
