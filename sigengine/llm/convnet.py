@@ -1,6 +1,6 @@
 """Quality classification by a byte-level convolutional network in numpy.
 
-Learned filters run over a text's bytes; maxima over overlapping chunks that cover the whole text are taken, each chunk
+Learned filters run over a text's bytes, at every offset; maxima over overlapping chunks that cover the whole text are taken, each chunk
 adds how well its bytes repeat at short lags, and the means and maxima of the chunks' values are combined into one
 probability. Since a filter over bytes is a sum of one table row for each byte, a filter bank is ``width`` table look-ups.
 
@@ -26,7 +26,7 @@ from sigengine.llm.common import python_ready
 class ConvParams:
     filters: int = 16
     width: int = 6
-    stride: int = 2
+    stride: int = 1  # a filter is applied at every byte
     chunk: int = 512  # bytes
     step: int = 384  # from chunk to chunk: they overlap by a quarter
     lags: int = 32

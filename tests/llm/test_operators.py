@@ -260,6 +260,18 @@ def test_quality_classifier(spark, edges):
     assert fit(edges, spark.createDataFrame([], "doc_id long, quality int")) is None
 
 
+def test_a_filter_sees_every_offset():
+    from sigengine.llm.convnet import ConvParams, chunks, convolved, start
+
+    p = ConvParams()
+    m = start(p)
+    m["table"][:] = 0
+    for k, c in enumerate(b"secret"):
+        m["table"][k, c, 0] = 1
+    for n in (*range(8), 379, 380, 381, 383, 384, 510, 511):
+        assert convolved(chunks("-" * n + "secret" + "." * 40, p), m, p)[0][:, 0].max() == 6, n
+
+
 def test_bpe(spark, docs, edges):
     import public_tokenizers as P
 
