@@ -63,7 +63,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:  # some 30 MB
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -194,6 +194,7 @@ def signatures(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch", "odd"],
             )
+        _WORDS.clear()  # workers live on for other tasks
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, odd array<long>")
 
@@ -232,6 +233,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, p: MinHashParams, id_col: str, tex
             yield pa.RecordBatch.from_arrays(
                 [b.column("node").filter(pa.array(keep, pa.bool_())), pa.array([s.view(np.int64) for s, k in zip(sets, keep, strict=True) if k], pa.list_(pa.int64()))], ["node", "s"]
             )
+        _WORDS.clear()
 
     return d.mapInArrow(run, f"node {d.schema['node'].dataType.simpleString()}, s array<long>")
 

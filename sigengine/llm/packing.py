@@ -37,11 +37,11 @@ class UnitEncoder:
     text.
     """
 
-    def __init__(self, path: str, remembered: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, remembered: int = 150_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered, self.longest = Tokenizer.from_file(path), remembered, longest
-        self.known: dict[str, bytes] = {}  # little-endian ids
+        self.forget()
         self.special = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
 
     def units(self, text: str) -> list[str]:
@@ -51,12 +51,23 @@ class UnitEncoder:
             return _CUT.split(text)
         return _UNITS.findall(text)
 
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}  # little-endian ids
+        self.older: dict[str, bytes] = {}  # those remembered before ``known`` was full; units used again move back
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """At most twice ``remembered`` units of ``longest`` characters outlive the call: some 60 MB."""
+        return [x for i in range(0, len(texts), 64) for x in self._encode(texts[i : i + 64])]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.units(t) if t else [] for t in texts]
         if len(self.known) > self.remembered:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = set().union(*split) - known.keys()
+        again = missing & older.keys()
+        known.update((u, older[u]) for u in again)
+        new = list(missing - again)
         if new:
             known.update(zip(new, [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
         out = [np.frombuffer(b"".join(map(known.__getitem__, us)), "<u4") for us in split]
@@ -97,6 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, size: int = 2048, end_id:
                 [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        enc.forget()  # workers live on for other tasks
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
