@@ -16,9 +16,17 @@ def pair_hash(seed: int) -> Column:
 
 
 def undersample(train: DataFrame, label: str = "label", ratio: int = 5, seed: int = 42) -> DataFrame:
-    """All positives and ``ratio`` negatives for each, those of the smallest hashes. One count reaches the driver."""
-    n = train.filter(F.col(label) == 1).count()
-    return train.filter(F.col(label) == 1).unionByName(train.filter(F.col(label) != 1).orderBy(pair_hash(seed), *PAIR).limit(ratio * n))
+    """All positives and ``ratio`` negatives for each, those of the smallest hashes; all rows if there are no positives.
+
+    The hash under which negatives stay is found over hashes and labels only (one count, then one sort of a sample's
+    size), so the features are not computed for it more than once more.
+    """
+    keyed = train.select(F.col(label).alias("y"), pair_hash(seed).alias("h"), *PAIR)
+    n = keyed.filter("y = 1").count()
+    if not n:
+        return train
+    last = keyed.filter("y != 1").orderBy("h", *PAIR).limit(ratio * n).agg(F.max("h")).first()[0] or ""
+    return train.filter((F.col(label) == 1) | ((F.col(label) != 1) & (pair_hash(seed) <= last)))
 
 
 def split(train: DataFrame, percent: int = 80, seed: int = 42) -> DataFrame:
@@ -41,9 +49,26 @@ def fit(train: DataFrame, trees: int = 20, depth: int = 4, step: float = 0.1, se
     return GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.9, seed=seed).fit(_vectors(train).withColumn("__y", F.col("label").cast("double")))
 
 
-def score(model, feats: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(pair, label, probability of 4 digits, predicted)."""
+VERSION = "boosted-trees-1"
+
+
+def predictions(probabilities: DataFrame, predicted_on: str, threshold: float = 0.5, version: str = VERSION) -> DataFrame:
+    """The prediction table: rows with ``p`` get the rounded probability (half to even), the class, the version and the days
+    from the prediction to the pair's warning (negative: the prediction is late; null: no warning)."""
+    out = probabilities.withColumns(
+        {
+            "signal_probability": F.bround("p", 4),
+            "predicted": (F.col("p") >= threshold).cast("int"),
+            "predicted_on": F.lit(predicted_on).cast("date"),
+            "model_version": F.lit(version),
+        }
+    ).drop("p")
+    return out.withColumn("days_predicted_early", F.datediff("warning_date", "predicted_on")) if "warning_date" in out.columns else out
+
+
+def score(model, feats: DataFrame, threshold: float = 0.5, predicted_on: str = "2002-01-01") -> DataFrame:
+    """(pair, label, warning_date, signal_probability, predicted, predicted_on, model_version, days_predicted_early)."""
     from pyspark.ml.functions import vector_to_array
 
-    p = F.round(vector_to_array("probability")[1], 4)
-    return model.transform(_vectors(feats)).select(*PAIR, "label", p.alias("signal_probability")).withColumn("predicted", (F.col("signal_probability") >= threshold).cast("int"))
+    scored = model.transform(_vectors(feats)).select(*PAIR, "label", *[c for c in ("warning_date",) if c in feats.columns], vector_to_array("probability")[1].alias("p"))
+    return predictions(scored, predicted_on, threshold)

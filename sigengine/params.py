@@ -10,6 +10,7 @@ class Thresholds:
     ror: float = 2.0
     chi2: float = 4.0
     chi2_cap: float = 1e9
+    chi2_sentinel: float = 999_999.0  # from here a statistic stored by a narrower engine stands for its cap
 
 
 @dataclass(frozen=True)
