@@ -2,8 +2,8 @@
 
 Every document's ids (and an end id) are cut into pieces of at most ``size``; the histogram of piece lengths, at most
 ``size`` numbers, comes to the driver. There patterns of two to four lengths that fill a sequence exactly get repeat counts
-by non-negative least squares against the histogram; counts are rounded down and what is left is packed best-fit. The plan
-says which ranks of each length go to which sequences; pieces get ranks within their length in salted groups.
+by non-negative least squares against the histogram, over a basis of at most as many patterns as there are lengths; counts
+are rounded and what is left is fitted again, then packed best-fit. The plan says which ranks of each length go to which sequences; pieces get ranks within their length in salted groups.
 
 Defined results: a null text counts as empty (one piece: the end id); repeated rows are packed as pieces of their own;
 ties in length go by id; an empty table gives an empty result; other columns are ignored.
@@ -113,8 +113,8 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, size: int = 2048, end_id:
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def patterns(lengths: np.ndarray, size: int, most: int = 150_000) -> np.ndarray:
-    """Rows of up to four of ``lengths`` (0: none) whose sum is ``size``; of three and four, evenly spread ones up to ``most``."""
+def patterns(lengths: np.ndarray, size: int, most: int = 120_000) -> np.ndarray:
+    """Rows of up to four of ``lengths`` (0: none) whose sum is ``size``; of three and four, evenly spread ones up to about ``most``."""
     have = np.zeros(size + 1, bool)
     have[lengths] = True
     lengths = np.sort(lengths[lengths < size])
@@ -137,23 +137,48 @@ def patterns(lengths: np.ndarray, size: int, most: int = 150_000) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, 4), int)
 
 
+def _rest(rows: np.ndarray, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What repeats ``x`` of the patterns leave of the histogram; place 0 stands for no piece."""
+    out = counts - np.bincount(rows.ravel(), np.repeat(x, rows.shape[1]), len(counts))
+    out[0] = 0
+    return out
+
+
 def nnls(rows: np.ndarray, counts: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 of the patterns with least squares of (lengths used - counts), by accelerated projected gradient."""
-    size = len(counts)
-    used = lambda x: np.bincount(rows.ravel(), np.repeat(x, rows.shape[1]), size) * (np.arange(size) > 0)
+    """Repeat counts x >= 0 of the patterns with least squares of (lengths used - counts), by accelerated projected gradient.
+
+    A pattern's step is one over the number of pieces that share a length with it, which bounds its row of the normal matrix.
+    """
     x = y = np.zeros(len(rows))
-    # columns' norms times how many patterns meet in a length bound the largest eigenvalue
-    bound = max(1.0, 4.0 * np.bincount(rows.ravel(), minlength=size)[1:].max(initial=1))
+    share = np.bincount(rows.ravel(), minlength=len(counts)).astype(float)
+    share[0] = 0
+    step = 1 / np.maximum(share[rows].sum(1), 1)
     t = 1.0
     for _ in range(steps):
-        rest = used(y) - counts
-        rest[0] = 0
-        z = np.maximum(0, y - rest[rows].sum(1) / bound)
+        z = np.maximum(0, y + step * _rest(rows, y, counts)[rows].sum(1))
         u = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y, x, t = z + (t - 1) / u * (z - x), z, u
+        y, x, t = np.maximum(0, z + (t - 1) / u * (z - x)), z, u
     return x
 
 
+def fitted(rows: np.ndarray, counts: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """A basis of at most as many patterns as there are lengths, and its repeat counts by non-negative least squares.
+
+    A fit over all patterns spreads each count over very many of them, where rounding loses it. So patterns of little
+    weight leave the basis and those that would take most of what is left enter, round by round.
+    """
+    most = int((counts[1:] > 0).sum())
+    basis = np.argsort(-nnls(rows, counts, 150), kind="stable")[:most]
+    for _ in range(rounds):
+        x = nnls(rows[basis], counts, 200)
+        gain = _rest(rows[basis], x, counts)[rows].sum(1)
+        gain[basis] = -np.inf
+        new = np.argsort(-gain, kind="stable")[: max(1, most // 2)]
+        basis = np.concatenate([basis[x > 1e-3], new[gain[new] > 0.5]])
+        basis = basis[np.argsort(-nnls(rows[basis], counts, 200), kind="stable")[:most]]
+    return rows[basis], nnls(rows[basis], counts, 600)
+
+
 def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing over a histogram: (lengths in a sequence, how many such sequences)."""
     rooms: list[int] = []
@@ -195,25 +220,36 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]
     return done + [x for room in rooms for x in open_[room]]
 
 
-def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, repeats) for a histogram of lengths."""
+def plan(counts: np.ndarray, size: int, most: int = 120_000, worst: float = 0.75, rounds: int = 12) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, repeats) for a histogram of lengths: patterns first, best-fit for what they leave.
+
+    Patterns with the largest pieces are taken first; counts under one half are rounded up to one, since a pattern fills
+    its sequence, as far as the histogram has the pieces. The rest is fitted again until a fit misses ``worst`` of it.
+    ``most`` bounds the patterns that are enumerated.
+    """
     left = counts.astype(np.int64).copy()
     out = [((size,), int(left[size]))] if left[size] else []
     left[size] = 0
-    rows = patterns(np.flatnonzero(left), size)
-    if len(rows):
-        x = nnls(rows, left.astype(float))
-        for i in np.argsort(-x, kind="stable"):
-            if x[i] < 0.5:
-                break
-            used: dict[int, int] = {}
-            for v in rows[i][rows[i] > 0].tolist():
-                used[v] = used.get(v, 0) + 1
-            n = min(int(x[i] + 0.5), *(int(left[v]) // k for v, k in used.items()))
+    for n_round in range(rounds):
+        rows = patterns(np.flatnonzero(left), size, most)
+        if not len(rows):
+            break
+        rows, x = fitted(rows, left.astype(float))
+        if n_round and np.abs(_rest(rows, x, left.astype(float))).sum() > worst * left.sum():
+            break
+        placed = 0
+        for i in np.lexsort((-x, -rows.max(1))):
+            if x[i] <= 0.05:
+                continue
+            content = rows[i][rows[i] > 0]
+            lengths, each = np.unique(content, return_counts=True)
+            n = int(min(max(1, round(x[i])), (left[lengths] // each).min()))
             if n > 0:
-                for v, k in used.items():
-                    left[v] -= n * k
-                out.append((tuple(rows[i][rows[i] > 0].tolist()), n))
+                left[lengths] -= n * each
+                out.append((tuple(content.tolist()), n))
+                placed += n
+        if not placed:
+            break
     return out + best_fit(left, size)
 
 

@@ -88,7 +88,7 @@ def test_suffix_tree(spark, docs, edges):
     assert score_texts(edges.limit(0), crc_mod("doc_id", 5) == 1).count() == 0
     # with one context kept, the probabilities after it are those of its counts, smoothed
     d = spark.createDataFrame([(i, "a b " * 50 + "c") for i in range(20)], "doc_id long, text string")
-    p = TreeParams(depth=1, least_count=5, root_share=0.0, smoothing=1.0)
+    p = TreeParams(depth=1, least_count=5, smoothing=1.0)
     r = score_texts(d, F.col("doc_id") == 0, p).filter("doc_id = 0").first()
     n, v = 19 * 102, 4
     p0 = lambda c: (c + 0.5) / (n + 0.5 * (v + 1))
@@ -98,6 +98,33 @@ def test_suffix_tree(spark, docs, edges):
     assert r["score"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("parts", [{}, {"chunk_tokens": 300, "part_tokens": 400, "split_tokens": 20}])
+def test_suffix_tree_equals_brute_force(spark, parts):
+    from sigengine.llm.suffix_tree import TreeParams, score_texts
+
+    r = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[min(39, int(k))] for k in r.geometric(0.12, r.integers(0, 60))) for _ in range(60)]
+    texts += [texts[0], texts[1].upper(), "", None, "Once Only words w1 w2 w3"]
+    rows = [(i, t, i % 5 == 1) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
+    for depth, least in ((3, 2), (2, 4)):
+        want = brute.suffix_scores(rows, depth, least, 20.0)
+        got = {x["doc_id"]: x["score"] for x in score_texts(d, F.col("held"), TreeParams(depth=depth, least_count=least, **parts)).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_suffix_tree_raises_documents_that_occur_twice(spark):
+    from sigengine.llm.suffix_tree import score_texts
+
+    r = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{k}" for k in r.integers(0, 300, 80))
+    twice = [text() for _ in range(10)]
+    rows = list(enumerate([*twice, *twice, *(text() for _ in range(100))]))
+    got = {x["doc_id"]: x["score"] / x["n_tokens"] for x in score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 120))
+
+
 def test_suffix_tree_keeps_contexts_as_the_corpus_grows(spark):
     from sigengine.llm.suffix_tree import score_texts
 
@@ -381,3 +408,44 @@ def test_pipeline(spark):
             assert {i for i in after if after[i] != before[i]} >= {i for i, t in before.items() if brute.pii(t)[1]}
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_patterns_carry_most_sequences(sf):
+    """On the corpus's own lengths the plan meets the lower bound and best-fit has little left to do."""
+    import pyarrow.parquet as pq
+
+    from sigengine.llm import packing
+
+    texts = pq.read_table(f"/root/testdata/sf{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+    size = 2048
+    counts = np.zeros(size + 1, np.int64)
+    for t in texts:
+        n = len((t or "").encode()) // 4 + 1  # about as many tokens
+        counts[size] += n // size
+        counts[n % size] += n % size > 0
+    made = packing.plan(counts, size)
+    used = np.zeros(size + 1, np.int64)
+    for content, n in made:
+        assert sum(content) <= size
+        for v in content:
+            used[v] += n
+    assert (used == counts).all()
+    total, bound = sum(n for _, n in made), -(-int((counts * np.arange(size + 1)).sum()) // size)
+    full = sum(n for content, n in made if len(content) > 1 and sum(content) == size)
+    left = total - full - int(counts[size])
+    assert total <= bound + 1 and full > 5 * left
+
+
+def test_least_squares_of_patterns():
+    from sigengine.llm import packing
+
+    # 3 + 7, 5 + 5 and 2 + 3 + 5: one solution fits all counts
+    rows = np.array([[3, 7, 0, 0], [5, 5, 0, 0], [2, 3, 5, 0]])
+    counts = np.zeros(11)
+    counts[[2, 3, 5, 7]] = 4, 10, 24, 6
+    assert packing.nnls(rows, counts, 3000) == pytest.approx([6, 10, 4], abs=1e-3)
+    assert (packing.nnls(rows, np.zeros(11)) == 0).all()
+    for counts in (np.zeros(11, int), np.eye(11, dtype=int)[10], np.eye(11, dtype=int)[3] * 7):
+        made = packing.plan(counts, 10)
+        assert sum(n * len(c) for c, n in made) == counts.sum()
