@@ -1,8 +1,10 @@
 """Quality classification by a byte-level convolutional network in numpy.
 
-Learned filters run over a text's bytes, at every offset; maxima over overlapping chunks that cover the whole text are taken, each chunk
-adds how well its bytes repeat at short lags, and the means and maxima of the chunks' values are combined into one
-probability. Since a filter over bytes is a sum of one table row for each byte, a filter bank is ``width`` table look-ups.
+Learned filters run over a text's bytes, at every offset; a chunk's values are the filters' maxima over its positions,
+chunks overlap and cover the whole text, and the means, maxima and minima of the chunks' values are combined into one
+probability. Nothing but learned filters sees the bytes: text that repeats itself shows in filters that plain text
+always excites and that stay low in some chunk. Since a filter over bytes is a sum of one table row for each byte, a
+filter bank is ``width`` table look-ups, or half as many in tables of byte pairs, which scoring uses.
 
 The network is fitted on at most about ``sample_rows`` labelled rows of at most ``sample_chars`` characters, chosen by a
 hash of the text; scores read whole texts.
@@ -26,10 +28,8 @@ from sigengine.llm.common import python_ready
 class ConvParams:
     filters: int = 16
     width: int = 6
-    stride: int = 1  # a filter is applied at every byte
     chunk: int = 512  # bytes
     step: int = 384  # from chunk to chunk: they overlap by a quarter
-    lags: int = 32
     sample_rows: int = 2500
     sample_chars: int = 20_000
     steps: int = 700  # of 32 texts each
@@ -47,50 +47,54 @@ def chunks(text: str | None, p: ConvParams) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, p.chunk)[:: p.step]
 
 
-def lag_values(c: np.ndarray, p: ConvParams) -> np.ndarray:
-    """(chunks, 2): the highest share of bytes equal to the one ``lag`` before, and the chunk's filled share."""
-    filled = np.maximum((c > 0).sum(1), 1)
-    most = np.zeros(len(c))
-    for lag in range(2, p.lags + 1):
-        same = ((c[:, lag:] == c[:, :-lag]) & (c[:, lag:] > 0)).sum(1)
-        np.maximum(most, same / filled, out=most)
-    return np.stack([most, filled / c.shape[1]], 1).astype(np.float32)
-
-
 def start(p: ConvParams) -> dict[str, np.ndarray]:
     r = np.random.default_rng(p.seed)
-    values = p.filters + 2
     return {
         "table": (r.standard_normal((p.width, 256, p.filters)) * 0.3).astype(np.float32),
         "bias": np.zeros(p.filters, np.float32),
-        "out": (r.standard_normal(2 * values) * 0.1).astype(np.float32),
+        "out": (r.standard_normal(3 * p.filters) * 0.1).astype(np.float32),
         "last": np.zeros(1, np.float32),
     }
 
 
-def convolved(c: np.ndarray, m: dict, p: ConvParams) -> tuple[np.ndarray, np.ndarray]:
-    """(chunks, filters) maxima over the positions of each chunk, and where they are."""
-    n = (c.shape[1] - p.width) // p.stride + 1
-    top, at = [], []
-    for part in (c[i : i + 64] for i in range(0, len(c), 64)):
-        a = m["table"][0][part[:, 0 : (n - 1) * p.stride + 1 : p.stride]]
-        for k in range(1, p.width):
-            a = a + m["table"][k][part[:, k : k + (n - 1) * p.stride + 1 : p.stride]]
-        where = a.argmax(1)
-        at.append(where)
-        top.append(np.take_along_axis(a, where[:, None], 1)[:, 0])
-    return np.maximum(np.concatenate(top) + m["bias"], 0), np.concatenate(at)
+def paired(m: dict) -> list[np.ndarray]:
+    """The filter bank as tables of byte pairs; the last one stands for a single byte if the width is odd."""
+    t = m["table"]
+    return [(t[k][:, None] + t[k + 1][None]).reshape(65536, -1) if k + 1 < len(t) else t[k] for k in range(0, len(t), 2)]
 
 
-def pooled(maxima: np.ndarray, lags: np.ndarray) -> np.ndarray:
-    """Means and maxima over a text's chunks."""
-    v = np.concatenate([np.log1p(maxima), lags], 1)
-    return np.concatenate([v.mean(0), v.max(0)])
+def convolved(c: np.ndarray, m: dict, p: ConvParams, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """(chunks, filters) maxima over the positions of each chunk and, if asked for, where they are."""
+    n = c.shape[1] - p.width + 1
+    tables = m["pairs"] if "pairs" in m else None
+    top, at = [], []
+    for part in (c[i : i + 64] for i in range(0, len(c), 64)):
+        if tables:
+            two = (part[:, :-1].astype(np.int32) << 8) | part[:, 1:]
+            a = tables[0][two[:, :n]]
+            for k in range(2, p.width, 2):
+                a += tables[k // 2][two[:, k : k + n] if k + 1 < p.width else part[:, k : k + n]]
+        else:
+            a = m["table"][0][part[:, :n]]
+            for k in range(1, p.width):
+                a += m["table"][k][part[:, k : k + n]]
+        if where:
+            best = a.argmax(1)
+            at.append(best)
+            top.append(np.take_along_axis(a, best[:, None], 1)[:, 0])
+        else:
+            top.append(a.max(1))
+    return np.maximum(np.concatenate(top) + m["bias"], 0), np.concatenate(at) if where else None
+
+
+def pooled(maxima: np.ndarray) -> np.ndarray:
+    """Means, maxima and minima over a text's chunks."""
+    v = np.log1p(maxima)
+    return np.concatenate([v.mean(0), v.max(0), v.min(0)])
 
 
 def probability(text: str | None, m: dict, p: ConvParams) -> float:
-    c = chunks(text, p)
-    z = float(pooled(convolved(c, m, p)[0], lag_values(c, p)) @ m["out"] + m["last"][0])
+    z = float(pooled(convolved(chunks(text, p), m, p)[0]) @ m["out"] + m["last"][0])
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -103,33 +107,35 @@ def train(texts: list[str], labels: list[int], p: ConvParams) -> dict | None:
     # the rarer label weighs up to three times as much
     weight = np.where(y == 0, min(3.0, max(1.0, (y == 1).sum() / max((y == 0).sum(), 1))), 1.0).astype(np.float32)
     cut = [chunks(t, p) for t in texts]
-    lag = [lag_values(c, p) for c in cut]
     first, second, t = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
-    values = p.filters + 2
+    f, every = p.filters, np.arange(p.filters)
     while t < p.steps:
         order = r.permutation(len(y))
         for batch in (order[i : i + 32] for i in range(0, len(y), 32)):
             g = {k: np.zeros_like(v) for k, v in m.items()}
             allc = np.concatenate([cut[i] for i in batch])
-            top_all, at_all = convolved(allc, m, p)
+            top_all, at_all = convolved(allc, m, p, where=True)
+            dt_all = np.zeros_like(top_all)
             pos = 0
             for i in batch:
                 n = len(cut[i])
-                top, at, c = top_all[pos : pos + n], at_all[pos : pos + n], cut[i]
-                pos += n
-                v = np.concatenate([np.log1p(top), lag[i]], 1)
-                x = np.concatenate([v.mean(0), v.max(0)])
+                top = top_all[pos : pos + n]
+                v = np.log1p(top)
+                x = np.concatenate([v.mean(0), v.max(0), v.min(0)])
                 z = float(x @ m["out"] + m["last"][0])
                 d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) * weight[i] / len(batch)
                 g["out"] += d * x
                 g["last"] += d
-                dv = np.repeat((d * m["out"][:values] / n)[None], n, 0)
-                dv[v.argmax(0), np.arange(values)] += d * m["out"][values:]
-                dt = dv[:, : p.filters] / (1 + top) * (top > 0)
-                g["bias"] += dt.sum(0)
-                rows, fs = np.nonzero(dt)
-                for k in range(p.width):
-                    np.add.at(g["table"], (k, c[rows, at[rows, fs] * p.stride + k], fs), dt[rows, fs])
+                dv = np.repeat((d * m["out"][:f] / n)[None], n, 0)
+                dv[v.argmax(0), every] += d * m["out"][f : 2 * f]
+                dv[v.argmin(0), every] += d * m["out"][2 * f :]
+                dt_all[pos : pos + n] = dv / (1 + top) * (top > 0)
+                pos += n
+            g["bias"] += dt_all.sum(0)
+            rows, fs = np.nonzero(dt_all)
+            for k in range(p.width):
+                at = allc[rows, at_all[rows, fs] + k].astype(np.int64) * f + fs
+                g["table"][k] = np.bincount(at, dt_all[rows, fs], 256 * f).reshape(256, f)
             t += 1
             rate = p.rate * max(0.02, 1 - t / p.steps)
             for k in m:
@@ -163,7 +169,7 @@ def score(docs: DataFrame, model: dict | None, p: ConvParams = ConvParams(), id_
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
+        m = shared.value and shared.value | {"pairs": paired(shared.value)}
         for b in batches:
             s = [0.5 if m is None else probability(t, m, p) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array([int(x >= p.threshold) for x in s], pa.int32())], [*b.schema.names[:-1], "score", "predicted"])
@@ -181,7 +187,7 @@ def keep_documents(docs: DataFrame, model: dict | None, p: ConvParams = ConvPara
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
+        m = shared.value and shared.value | {"pairs": paired(shared.value)}
         for b in batches:
             yield b.filter(pa.array([m is None or probability(t, m, p) >= p.threshold for t in b.column(at).to_pylist()], pa.bool_()))
 

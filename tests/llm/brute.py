@@ -135,3 +135,91 @@ def unigrams(rows):
         i: {"held_out": crc(i, 5) == 1, "n_tokens": len(ws), "n_known": sum(w in c for w in ws), "train_tokens": n, "base_score": sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)}
         for i, ws in tokens.items()
     }
+
+
+def suffix_scores(rows, depth, least, m, penalty=1.0, lump=0.5):
+    """id -> log10 probability by the suffix tree learned from the rows (id, text, held) that are not held out."""
+    from collections import Counter, defaultdict
+
+    texts = [(i, [*WORD.findall(lower(t)), "\n"], h) for i, t, h in rows]
+    c = Counter(w for _, ws, h in texts if not h for w in ws)
+    n, v = sum(c.values()), len(c)
+    p = lambda w: (c[w] + lump) / (n + lump * (v + 1))
+    rare = (sum(k for k in c.values() if k < least) + lump * (sum(k < least for k in c.values()) + 1)) / (n + lump * (v + 1))
+    symbol = lambda w: w if c[w] >= least else None
+    follow, total, kept = defaultdict(Counter), Counter(), set()
+
+    def now(before, s, most):
+        q = rare if s is None else p(s)
+        for j in range(1, min(most, len(before)) + 1):
+            x = tuple(before[-j:])
+            if None in x:
+                break
+            if x in kept:
+                q = (follow[x][s] + m * q) / (total[x] + m)
+        return q
+
+    for d in range(1, depth + 1):
+        for _, ws, h in texts:
+            s = [symbol(w) for w in ws]
+            for i in range(d, len(s)) if not h else ():
+                if None not in s[i - d : i]:
+                    follow[tuple(s[i - d : i])][s[i]] += 1
+        new = set()
+        for x in [x for x in follow if len(x) == d]:
+            total[x] = sum(follow[x].values())
+            q = {s: 2 ** (-np.rint(-8 * np.log2(now(x, s, d - 1))) / 8) for s in follow[x]}
+            ratio = 2 * sum(k * np.log(k / total[x] / q[s]) for s, k in follow[x].items())
+            if total[x] >= least and ratio > penalty * len(follow[x]) * np.log(total[x]):
+                new.add(x)
+        kept |= new
+    out = {}
+    for i, ws, _ in texts:
+        s = [symbol(w) for w in ws]
+        out[i] = sum(np.log10(now(s[:k], x, depth)) + (0 if x is not None else np.log10(p(w) / rare)) for k, (w, x) in enumerate(zip(ws, s, strict=True)))
+    return out
+
+
+def convnet(text, m, p):
+    """The network's probability, loop by loop."""
+    b = (text or "").encode("utf-8", "surrogatepass")
+    parts = [b[: p.chunk]]
+    while len(parts) * p.step + p.chunk - p.step < len(b):
+        parts.append(b[len(parts) * p.step :][: p.chunk])
+    values = []
+    for c in parts:
+        c = c + bytes(p.chunk - len(c))
+        values.append([np.log1p(max(0.0, max(sum(float(m["table"][k, c[i + k], f]) for k in range(p.width)) for i in range(p.chunk - p.width + 1)) + float(m["bias"][f]))) for f in range(p.filters)])
+    v = np.array(values)
+    z = float(np.concatenate([v.mean(0), v.max(0), v.min(0)]) @ m["out"] + m["last"][0])
+    return 1 / (1 + np.exp(-z))
+
+
+def language(text, model, p):
+    """(language, score) by the nearest centroid, with plain dictionaries."""
+    from collections import Counter
+
+    if not model.languages or text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    u, last = [], None
+    for c in text.lower():
+        x = max(ord(c), 32) if ord(c) >= 65 else 32
+        if not (x == 32 and last == 32):
+            u.append(x)
+        last = x
+    mask, a = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    count = Counter()
+    for i, x in enumerate(u):
+        one = (x + 1) * a & mask
+        count[one >> 64 - p.bits] += 1
+        if i + 1 < len(u):
+            two = ((one ^ (u[i + 1] + 77)) * a) & mask
+            count[two >> 64 - p.bits] += 1
+            if i + 2 < len(u):
+                count[((two ^ (u[i + 2] + 7777)) * a & mask) >> 64 - p.bits] += 1
+    w = {k: (1 + np.log(n)) * model.idf[k] for k, n in count.items()}
+    norm = np.sqrt(sum(x * x for x in w.values()))
+    cos = [sum(x * float(c[k]) for k, x in w.items()) / norm if norm else 0.0 for c in model.centroids]
+    best = [max(c for c, o in zip(cos, model.owner, strict=True) if o == k) for k in range(len(model.languages))]
+    e = np.exp(p.sharpness * (np.array(best) - max(best)))
+    return model.languages[int(np.argmax(best))], float(e.max() / e.sum())

@@ -287,6 +287,38 @@ def test_quality_classifier(spark, edges):
     assert fit(edges, spark.createDataFrame([], "doc_id long, quality int")) is None
 
 
+def test_scores_equal_brute_force(spark, edges):
+    from sigengine.llm.convnet import ConvParams, keep_documents, score, start, train
+
+    r = np.random.default_rng(8)
+    for p in (ConvParams(filters=3, chunk=40, step=30, steps=5), ConvParams(filters=2, width=5, chunk=32, step=8, steps=5)):
+        m = start(p)
+        m["bias"] += r.standard_normal(p.filters).astype(np.float32)
+        texts = [None, "", "a", "é" * 50, "words of a text " * 9, "x" * 39, "x" * 40, "x" * 41, "\U0001f600 b" * 30]
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {x["doc_id"]: x["score"] for x in score(d, m, p).collect()}
+        assert got == pytest.approx({i: brute.convnet(t, m, p) for i, t in enumerate(texts)}, rel=1e-4)
+        assert {x["doc_id"] for x in keep_documents(d, m, p).collect()} == {i for i, v in got.items() if v >= p.threshold}
+        assert {x["predicted"] == (x["score"] >= p.threshold) for x in score(d, m, p).collect()} == {True}
+    assert score(edges.limit(0), m, p).count() == 0 and keep_documents(edges.limit(0), m, p).count() == 0
+    assert train(["a", "b"], [1, 1], p) is None
+    rows = score(edges, start(ConvParams())).collect()
+    assert len(rows) == len(EDGES) and all(0 <= x["score"] <= 1 for x in rows)
+
+
+def test_repeated_words_are_learned():
+    """The filters alone tell repeated words from running text: what repeats leaves some filters low."""
+    from sigengine.llm.convnet import ConvParams, probability, train
+
+    r = np.random.default_rng(9)
+    word = lambda: "".join(r.choice(list("aeioulnrst"), r.integers(2, 8)))
+    good = lambda: " ".join(word() for _ in range(150))
+    bad = lambda: " ".join(w for w in (word() for _ in range(5)) for _ in range(30))
+    p = ConvParams(steps=150)
+    m = train([good() for _ in range(80)] + [bad() for _ in range(80)], [1] * 80 + [0] * 80, p)
+    assert np.mean([probability(good(), m, p) > 0.5 for _ in range(40)]) > 0.9 and np.mean([probability(bad(), m, p) < 0.5 for _ in range(40)]) > 0.9
+
+
 def test_a_filter_sees_every_offset():
     from sigengine.llm.convnet import ConvParams, chunks, convolved, start
 
