@@ -274,7 +274,7 @@ add(
  totals AS (SELECT draw, method, sum(caught) AS caught FROM draws JOIN base USING (slot) GROUP BY 1, 2), ranks AS ({_AVGRANK} FROM totals) SELECT method, round(avg(avg_rank), 4) AS mean_rank, """
     + ", ".join(f"round(avg(CASE WHEN round_even(avg_rank, 0) = {i} THEN 1.0 ELSE 0.0 END), 4) AS p_rank{i}" for i in range(1, len(E.METHODS) + 1))
     + " FROM ranks GROUP BY 1",
-)(lambda spark, d: E.resampled_ranks(_threshold(spark, d)).select("method", *_r("mean_rank", *[f"p_rank{i}" for i in range(1, len(E.METHODS) + 1)])))
+)(lambda spark, d: E.resampled_ranks(_keep(_threshold(spark, d))).select("method", *_r("mean_rank", *[f"p_rank{i}" for i in range(1, len(E.METHODS) + 1)])))
 add("sensitivity_grid", f"{BSIG} " + " UNION ALL ".join(f"SELECT '{k}' AS setting, count(*) AS candidates FROM bayes WHERE {c}" for k, c in [*((f"prr>{p},n>={n}", f"prr > {p} AND ror > {p} AND case_count >= {n}") for p in (1.5, 2, 3, 5) for n in (3, 5, 10)), *((f"ic025>{v}", f"ic025 > {v}") for v in (0, 0.5, 1)), *((f"eb05>{v}", f"eb05 > {v}") for v in (1.5, 2, 3))]))(
     lambda spark, d: E.sensitivity(_bayes(spark, d))
 )
