@@ -1,22 +1,25 @@
 """License detection by ordered signature rules.
 
-Hundreds of regular expressions, one for each pair of a license family and a phrase template, run over the words of a
-text joined by single spaces. A family's rules run only on texts that hold its keyword. Detections are taken in order of
-priority, then length; one that lies within an interval already taken is dropped.
+Hundreds of hand-written regular expressions (``license_rules``) run over the words of a text joined by single spaces. A group
+of rules runs only on texts that hold one of its keywords. Detections are taken in the order of their rules; one that lies
+within an interval already taken is dropped. Both steps take time in proportion to the text and its detections (the latter
+times the logarithm of their number).
 
 Defined results: null and empty texts have no words and no labels (score 0); repeated rows and tied ids are rows of their
-own; an empty table gives an empty result; other columns are ignored.
+own; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigengine.llm.common import python_ready
+from sigengine.llm.license_rules import SIGNATURES
 
 #: Bytes to words: A-Z lowered, other ASCII but digits and letters to spaces; bytes over 127 belong to words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -24,96 +27,50 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 #: Fixed phrases of the contract and their labels.
 BASE = ((b"under the mit license", "mit"), (b"apache license version 2", "apache-2"), (b"cc by nc", "cc-by-nc"))
 
-#: label, keywords of which the text must hold one, name as it stands in running words, identifier of SPDX in words, specificity
-FAMILIES = (
-    ("agpl-3", "gpl|general public", r"(?:gnu )?(?:affero general public license|agpl)(?: v| version )?3?(?: 0)?", r"agpl 3 0", 9),
-    ("lgpl-2.1", "gpl|general public", r"(?:gnu )?(?:lesser general public license|lgpl)(?: v| version )?2 1", r"lgpl 2 1", 9),
-    ("lgpl-3", "gpl|general public", r"(?:gnu )?(?:lesser general public license|lgpl)(?: v| version )3(?: 0)?", r"lgpl 3 0", 9),
-    ("gpl-2", "gpl|general public", r"(?:gnu )?(?:general public license|gpl)(?: v| version )2(?: 0)?", r"gpl 2 0", 8),
-    ("gpl-3", "gpl|general public", r"(?:gnu )?(?:general public license|gpl)(?: v| version )3(?: 0)?", r"gpl 3 0", 8),
-    ("gpl", "gpl|general public", r"(?:gnu )?(?:general public license|gpl)", r"gpl", 5),
-    ("apache-2", "apache", r"apache(?: software)? license(?: version)? 2(?: 0)?", r"apache 2 0", 8),
-    ("apache-1.1", "apache", r"apache(?: software)? license(?: version)? 1 1", r"apache 1 1", 8),
-    ("apache", "apache", r"apache(?: software)? license", r"apache", 5),
-    ("mit", "mit", r"mit", r"mit", 6),
-    ("x11", "x11", r"x11", r"x11", 6),
-    ("bsd-2", "bsd", r"(?:2 clause|two clause|simplified) bsd", r"bsd 2 clause", 8),
-    ("bsd-3", "bsd", r"(?:3 clause|three clause|new|revised|modified) bsd", r"bsd 3 clause", 8),
-    ("bsd-4", "bsd", r"(?:4 clause|four clause|original) bsd", r"bsd 4 clause", 8),
-    ("bsd", "bsd", r"bsd", r"bsd", 5),
-    ("isc", "isc", r"isc", r"isc", 6),
-    ("mpl-2", "mozilla|mpl", r"mozilla public license(?: v| version)? 2(?: 0)?", r"mpl 2 0", 8),
-    ("mpl-1.1", "mozilla|mpl", r"mozilla public license(?: v| version)? 1 1", r"mpl 1 1", 8),
-    ("epl-2", "eclipse|epl", r"eclipse public license(?: v| version)? 2(?: 0)?", r"epl 2 0", 8),
-    ("epl-1", "eclipse|epl", r"eclipse public license(?: v| version)? 1(?: 0)?", r"epl 1 0", 8),
-    ("cddl", "development and distribution|cddl", r"common development and distribution license", r"cddl 1 0", 8),
-    ("eupl", "european union public|eupl", r"european union public licen[cs]e", r"eupl 1 2", 8),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0", 8),
-    ("cc-by-nc-nd", "cc by nc nd", r"cc by nc nd(?: [234] 0)?", r"cc by nc nd 4 0", 9),
-    ("cc-by-nc-sa", "cc by nc sa", r"cc by nc sa(?: [234] 0)?", r"cc by nc sa 4 0", 9),
-    ("cc-by-nc", "cc by nc", r"cc by nc(?: [234] 0)?", r"cc by nc 4 0", 8),
-    ("cc-by-nd", "cc by nd", r"cc by nd(?: [234] 0)?", r"cc by nd 4 0", 8),
-    ("cc-by-sa", "cc by sa", r"cc by sa(?: [234] 0)?", r"cc by sa 4 0", 8),
-    ("cc-by", "cc by", r"cc by(?: [234] 0)?", r"cc by 4 0", 6),
-    ("cc-by-nc", "noncommercial|non commercial|cc by nc", r"creative commons attribution non ?commercial", r"cc by nc 4 0", 8),
-    ("cc-by-sa", "sharealike|share alike|cc by sa", r"creative commons attribution share ?alike", r"cc by sa 4 0", 8),
-    ("cc-by", "creative commons|cc by", r"creative commons attribution", r"cc by 4 0", 6),
-    ("unlicense", "unlicense", r"unlicense", r"unlicense", 6),
-    ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl", 6),
-    ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib", 6),
-    ("boost-1", "boost|bsl", r"boost software license(?: v| version)?(?: 1 0)?", r"bsl 1 0", 8),
-    ("artistic-2", "artistic", r"artistic license(?: v| version)? 2(?: 0)?", r"artistic 2 0", 8),
-    ("artistic", "artistic", r"artistic license", r"artistic 1 0", 5),
-    ("postgresql", "postgresql", r"postgresql license", r"postgresql", 7),
-    ("python-2", "python software foundation|psf", r"python software foundation license", r"psf 2 0", 8),
-    ("ofl-1.1", "open font|ofl", r"(?:sil )?open font license", r"ofl 1 1", 8),
-    ("odbl", "open database|odbl", r"open database license", r"odbl 1 0", 8),
-    ("public-domain", "public domain", r"public domain", r"public domain", 5),
-    ("proprietary", "all rights reserved|proprietary", r"all rights reserved", r"proprietary", 4),
-)
-
-#: template, weight: the surer ones come first
-TEMPLATES = (
-    (r"spdx license identifier {spdx}", 1.0),
-    (r"licen[cs]ed under (?:the )?(?:terms of the )?{name}", 0.98),
-    (r"(?:released|distributed|published|available|provided) under (?:the )?(?:terms of the )?{name}", 0.95),
-    (r"under (?:the )?terms of (?:the )?{name}", 0.95),
-    (r"under (?:the|an?) {name}", 0.9),
-    (r"{name} licen[cs]e", 0.85),
-    (r"licen[cs]e {name}", 0.8),
-    (r"subject to (?:the )?{name}", 0.8),
-    (r"{name}", 0.6),
-)
-#: Families whose bare name is an ordinary word: it counts with words of licensing about it only.
-_BARE = re.compile(r"license|cc|public domain|rights|creative|unlicense|wtfpl|gpl")
+
+def groups(signatures: str = SIGNATURES) -> list[tuple[list[str], list[tuple[str, float, str]]]]:
+    """[(keywords, [(label, weight, pattern)])] as they are written."""
+    out: list = []
+    for line in filter(None, map(str.strip, signatures.splitlines())):
+        if line.startswith("@"):
+            out.append(([k.strip() for k in line[1:].split("|")], []))
+        else:
+            label, weight, pattern = line.split(" ", 2)
+            out[-1][1].append((label, float(weight), pattern))
+    return out
 
 
 @lru_cache(1)
 def rules() -> tuple:
-    """(keywords, [(priority, weight, label, compiled rule)]) by keywords."""
-    out: dict[tuple, list] = {}
-    for label, keyword, name, spdx, specific in FAMILIES:
-        for template, weight in TEMPLATES:
-            if template == "{name}" and not _BARE.search(name):
-                continue
-            rule = re.compile(("(?<![^ ])" + template.format(name=f"(?:{name})", spdx=f"(?:{spdx})") + "(?![^ ])").encode())
-            out.setdefault(tuple(keyword.encode().split(b"|")), []).append((specific * weight, weight, label, rule))
-    return tuple(out.items())
+    """(keywords, [(place in the order, weight, label, compiled rule)]); rules start at the space before a word, which texts are scanned for fast."""
+    out, place = [], 0
+    for keywords, own in groups():
+        compiled = []
+        for label, weight, pattern in own:
+            compiled.append((place, weight, label, re.compile(f" (?:{pattern})(?= )".encode())))
+            place += 1
+        out.append(([k.encode() for k in keywords], compiled))
+    return tuple(out)
 
 
 def detections(words: bytes) -> list[tuple[int, int, str, float]]:
     """(start, end, label, weight) in ``words``, a text's words joined by single spaces; contained ones suppressed."""
-    found = []
+    padded, found = b" " + words + b" ", []
     for keywords, own in rules():
         if any(k in words for k in keywords):
-            for priority, weight, label, rule in own:
-                found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, weight) for m in rule.finditer(words)]
+            for place, weight, label, rule in own:
+                found += [(place, m.start(), m.end() - 1, label, weight) for m in rule.finditer(padded)]
     kept: list[tuple[int, int, str, float]] = []
-    starts: list[tuple[int, int]] = []
-    for _, _, s, e, label, weight in sorted(found):
-        if not any(a <= s and e <= b for a, b in starts):
-            kept.append((s, e, label, weight))
-            starts.append((s, e))
+    # the intervals taken that lie within no other one: starts and ends both rise
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, s, e, label, weight in sorted(found):
+        at = bisect_right(starts, s)
+        if at and ends[at - 1] >= e:
+            continue
+        kept.append((s, e, label, weight))
+        first, last = bisect_left(starts, s), bisect_right(ends, e)
+        starts[first:last], ends[first:last] = [s], [e]
     return sorted(kept)
 
 
@@ -122,15 +79,16 @@ def base_places(words: bytes) -> list[tuple[int, str]]:
     padded, out = b" " + words + b" ", []
     for phrase, label in BASE:
         look = b" " + phrase + b" "
-        at = padded.find(look)
+        at, word, read = padded.find(look), 0, 0
         while at >= 0:
-            out.append((padded.count(b" ", 0, at), label))
-            at = padded.find(look, at + 1)
+            word += padded.count(b" ", read, at)  # spaces before this one: the words before the phrase
+            out.append((word, label))
+            read, at = at, padded.find(look, at + 1)
     return out
 
 
 def scan_text(text: str | None) -> tuple:
-    words = b" ".join((text or "").encode().translate(_WORDS).split())
+    words = b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split())
     n = words.count(b" ") + 1 if words else 0
     base = base_places(words)
     more = detections(words)

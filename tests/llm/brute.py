@@ -168,7 +168,7 @@ def suffix_scores(rows, depth, least, m, penalty=1.0, lump=0.5):
         new = set()
         for x in [x for x in follow if len(x) == d]:
             total[x] = sum(follow[x].values())
-            q = {s: 2 ** (-np.rint(-8 * np.log2(now(x, s, d - 1))) / 8) for s in follow[x]}
+            q = {s: 2 ** (-np.rint(-4 * np.log2(now(x, s, d - 1))) / 4) for s in follow[x]}
             ratio = 2 * sum(k * np.log(k / total[x] / q[s]) for s, k in follow[x].items())
             if total[x] >= least and ratio > penalty * len(follow[x]) * np.log(total[x]):
                 new.add(x)

@@ -201,17 +201,58 @@ def texts_of(pattern):
     return every(_parser.parse(pattern))
 
 
-def test_license_gates_let_pass_what_their_rules_match():
-    from sigengine.llm.license_scan import FAMILIES, scan_text
-
-    for label, keyword, name, spdx, _ in FAMILIES:
-        for t in texts_of(name) + texts_of(spdx):
-            assert any(k in t for k in keyword.split("|")), (label, t)
+def test_license_rules_match_their_own_texts():
+    """Every text that a rule can match passes its gate, and yields the rule's label or that of a rule before it."""
+    from sigengine.llm.license_scan import detections, groups, rules, scan_text
+
+    flat = [(keywords, *r) for keywords, own in groups() for r in own]
+    assert len(flat) >= 250 and len({p for *_, p in flat}) == len(flat) and all(0 < w <= 1 for _, _, w, _ in flat)
+    compiled = [r for _, own in rules() for _, _, _, r in own]
+    for k, (keywords, label, _, pattern) in enumerate(flat):
+        for t in texts_of(pattern):
+            assert any(x in t for x in keywords), (label, t)
+            found = {x[2] for x in detections(t.encode())}
+            earlier = {flat[i][1] for i in range(k) if compiled[i].search(f" {t} ".encode())}
+            assert found and (label in found or found & earlier), (label, t, found)
     labels = lambda t: scan_text(t)[5]
     assert labels("under the Creative Commons Attribution-Non-Commercial license") == "cc-by-nc"
     assert labels("Creative Commons Attribution-Share Alike 4.0") == "cc-by-sa"
     assert labels("Creative Commons Attribution-NonCommercial") == "cc-by-nc" and labels("Creative Commons Attribution 4.0") == "cc-by"
     assert labels("SPDX-License-Identifier: proprietary") == "proprietary"
+    assert labels('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software")') == "mit"
+    assert labels("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License") == "gpl-2"
+    assert labels("admit the summit of bsdx gplv9x") == ""
+
+
+def test_contained_detections_equal_plain_search():
+    from sigengine.llm import license_scan as L
+
+    r = np.random.default_rng(5)
+    words = "gnu gpl lgpl license version 2 3 0 apache under the mit cc by nc sa public domain or later the of".split()
+    for _ in range(300):
+        t = " ".join(r.choice(words, 40)).encode()
+        every = sorted((place, m.start(), m.end() - 1, label, w) for keys, own in L.rules() if any(k in t for k in keys) for place, w, label, rule in own for m in rule.finditer(b" " + t + b" "))
+        kept = []
+        for _, s, e, label, w in every:
+            if not any(a <= s and e <= b for a, b, *_ in kept):
+                kept.append((s, e, label, w))
+        assert L.detections(t) == sorted(kept)
+
+
+def test_long_dense_texts_take_linear_time():
+    import time
+
+    from sigengine.llm.license_scan import scan_text
+
+    def seconds(t):
+        began = time.process_time()
+        scan_text(t)
+        return time.process_time() - began
+
+    for unit in ("gpl ", "cc by nc ", "under the mit license ", "gnu gpl v2 "):
+        small, large = (unit * (n // len(unit)) for n in (125_000, 1_000_000))
+        seconds(small)
+        assert seconds(large) < 24 * max(seconds(small), 0.05), unit
 
 
 def test_language(spark, docs, edges):
