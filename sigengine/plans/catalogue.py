@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +17,7 @@ from sigengine.operators import signals as G
 from sigengine.params import QualityRules
 from sigengine.sources import query as Q
 from sigengine.sources import reports as R
+from sigengine.sources.shared import shared_folder
 from sigengine.sources.star import fact_events, warnings_ref
 
 CUTOFFS = ["1998-12-31", "1999-12-31", "2000-12-31", "2001-06-30", "2003-12-31"]
@@ -143,8 +143,7 @@ _over_facts(
 
 def quarter_folders(spark: SparkSession, d: str) -> str:
     """The facts as Parquet folders by year and quarter, in the shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigengine-")
-    path = f"{folder}/facts-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
     R.write_quarters(fact_events(spark, d), path)
     return path
 
