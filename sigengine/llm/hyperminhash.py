@@ -199,24 +199,38 @@ def signatures(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, odd array<long>")
 
 
+def _beside(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (lead, member) with ``columns`` of both from ``rows`` (node): those of the lead with an l, those of the member with an m.
+
+    A lead may have very many members. Its pairs are dealt over as many parts as there are thousands of pairs, by a hash
+    of the member, and the lead's row is sent once to each part that has some, not with each pair.
+    """
+    parts = max(16, pairs.count() // 1000)
+    part = F.pmod(F.xxhash64("member"), F.lit(parts)).cast("int")
+    member = rows.select(F.col("node").alias("member"), *[F.col(c).alias(f"m_{c}") for c in columns])
+    lead = rows.select(F.col("node").alias("lead"), *[F.col(c).alias(f"l_{c}") for c in columns])
+    sent = pairs.select("lead", part.alias("part")).distinct().join(lead, "lead")
+    return pairs.join(member, "member").withColumn("part", part).join(sent, ["lead", "part"])
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
-    """The pairs (u, v) whose corrected estimate is not far under the limit."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bands").alias(f"b{x}"))
+    """The pairs (lead, member) whose corrected estimate is not far under the limit."""
     limit = p.percent / 100
-    sized = pairs.join(side("u"), "u").join(side("v"), "v").filter(100 * F.least("nu", "nv") >= p.percent * F.greatest("nu", "nv"))
+    both = _beside(pairs, classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "bands"), "n", "bands")
+    sized = both.filter(100 * F.least("l_n", "m_n") >= p.percent * F.greatest("l_n", "m_n"))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                regs = [b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(b.num_rows, -1) for c in ("bu", "bv")]
-                nu, nv = (b.column(c).to_numpy(zero_copy_only=False) for c in ("nu", "nv"))
-                b = b.filter(pa.array(estimate(*regs, nu, nv, p) >= limit - p.slack))
-            yield b.select(["u", "v"])
+                regs = [b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(b.num_rows, -1) for c in ("l_bands", "m_bands")]
+                nl, nm = (b.column(c).to_numpy(zero_copy_only=False) for c in ("l_n", "m_n"))
+                b = b.filter(pa.array(estimate(*regs, nl, nm, p) >= limit - p.slack))
+            yield b.select(["lead", "member"])
 
-    kind = pairs.schema["u"].dataType.simpleString()
-    return sized.mapInArrow(run, f"u {kind}, v {kind}")
+    kind = pairs.schema["lead"].dataType.simpleString()
+    return sized.mapInArrow(run, f"lead {kind}, member {kind}")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, p: MinHashParams, id_col: str, text_col: str) -> DataFrame:
@@ -239,10 +253,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, p: MinHashParams, id_col: str, tex
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
-    both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").filter(100 * both >= p.percent * (F.size("su") + F.size("sv") - both)).select("u", "v").distinct()
+    """(u, v): the pairs whose full sets are similar enough."""
+    both = F.size(F.array_intersect("l_s", "m_s"))
+    found = _beside(pairs, sets, "s").filter(100 * both >= p.percent * (F.size("l_s") + F.size("m_s") - both))
+    return found.select(F.greatest("lead", "member").alias("u"), F.least("lead", "member").alias("v")).distinct()
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair (lead, member) once, whichever way round it stands; a map-side aggregation."""
+    return pairs.groupBy(F.greatest("lead", "member").alias("u"), F.least("lead", "member").alias("v")).agg(F.min("lead").alias("lead")).select("lead", F.when(F.col("lead") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("member"))
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,14 +277,14 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col:
     # a text that others were made from shares more bands with them than they do with each other: such a one leads
     popular = members.groupBy("rep").agg(F.sum("c").alias("popular"))
     leaders = members.join(popular, "rep").groupBy("band", "key").agg(F.min("rep").alias("l0"), F.max_by("rep", F.struct("popular", F.xxhash64("rep"))).alias("l1"))
-    starred = members.join(leaders, ["band", "key"]).select("rep", F.explode(F.array("l0", "l1")).alias("lead")).filter("rep != lead").select(F.greatest("rep", "lead").alias("u"), F.least("rep", "lead").alias("v")).distinct()
-    likely = cut(_likely(starred, classes, p))
+    starred = members.join(leaders, ["band", "key"]).select("rep", F.explode(F.array("l0", "l1")).alias("lead")).filter("rep != lead").select("lead", F.col("rep").alias("member"))
+    likely = cut(_likely(cut(_once(starred)), classes, p))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        ids = pairs.select(F.col("lead").alias("node")).union(pairs.select("member")).distinct()
         return cut(_sets(docs, ids.join(classes.select(F.col("rep").alias("node"), "f1"), "node"), p, id_col, text_col).dropDuplicates(["node"]))
 
-    links = cut(_confirmed(likely, sets_of(likely), p)) if not likely.isEmpty() else likely
+    links = cut(_confirmed(likely, sets_of(likely), p)) if not likely.isEmpty() else likely.select(F.col("lead").alias("u"), F.col("member").alias("v"))
     comp = cut(components(links))
 
     # buckets with several components: all members across components
@@ -279,8 +298,10 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col:
         right = held.select("band", "key", *side("b"))
         # a pair leaves the first of the bands that it shares only; all of them are mixed buckets
         once = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("band") + 1
-        across = left.join(right, ["band", "key"]).filter(F.expr("ca != cb AND (cb = big OR a < b)") & _alike(p) & once).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        more = cut(_likely(across.join(likely, ["u", "v"], "left_anti"), classes, p))
+        across = left.join(right, ["band", "key"]).filter(F.expr("ca != cb AND (cb = big OR a < b)") & _alike(p) & once).select(F.col("b").alias("lead"), F.col("a").alias("member"))
+        tried = likely.select(F.greatest("lead", "member").alias("u"), F.least("lead", "member").alias("v"))
+        across = _once(across).select("*", F.greatest("lead", "member").alias("u"), F.least("lead", "member").alias("v")).join(tried, ["u", "v"], "left_anti").select("lead", "member")
+        more = cut(_likely(cut(across), classes, p))
         if not more.isEmpty():
             found = cut(_confirmed(more, sets_of(more), p))
             if not found.isEmpty():
@@ -296,11 +317,19 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col:
 
 
 def keep_documents(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: one document of each component; rows repeated in id and text stay once."""
-    found = cut(near_duplicates(docs, p, id_col, text_col))
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    out = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    again = cut(found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(id_col)).count().filter("count > 1").select(id_col))
-    if again.isEmpty():
-        return out
-    return out.join(again, id_col, "left_anti").select(docs.columns).union(out.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col]))
+    """The rows of ``docs`` without near-duplicates: one row of each component, that of the smallest id.
+
+    Rows without words or without an id are no one's duplicates and stay. Where ids are repeated, rows are told apart by
+    id and a digest of the text, so that rows that share an id but not a text are judged each by itself; of rows that
+    repeat both one stays, and the smallest is that of the smallest id and digest as text.
+    """
+    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
+    if repeated.isEmpty():
+        gone = cut(near_duplicates(docs, p, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(id_col)))
+        return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.concat_ws(":", F.col(id_col).cast("string"), F.md5(text.cast("binary")))))
+    gone = cut(near_duplicates(named, p, "__row", text_col).filter("NOT kept").select(F.col("doc_id").alias("__row")).distinct())
+    stay = named.join(gone, "__row", "left_anti")
+    single = F.col("__row").isNull() | (F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) == 0)
+    return stay.filter(single).select(docs.columns).unionByName(stay.filter(~single).dropDuplicates(["__row"]).select(docs.columns))
