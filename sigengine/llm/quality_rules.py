@@ -27,7 +27,7 @@ class QualityParams:
     max_repeat_pct: int = 30
     max_symbol_pct: int = 50  # symbols for each hundred words
     max_dup_line_pct: int = 60
-    window: int = 8
+    window: int = 8  # words, at least 1
     host_limit: float = 0.5  # of a host's shrunk failure rate
     least_rho: float = 1e-4  # of the prior's overdispersion
     broadcast_hosts: int = 100_000  # rejected hosts up to which their list is broadcast
@@ -64,10 +64,12 @@ def _repeat_words(words: Column, window: int) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(F.array_sort(pairs), from_sorted)).otherwise(F.lit(0))
 
     def doubled(v: Column, step: int) -> Column:
+        """From hashes of ``step`` words to those of twice as many, the last time with as much overlap as the window asks for."""
         if step == window:
             return covered(v)
-        nxt = F.zip_with(F.slice(v, F.lit(1), F.size(v) - step), F.slice(v, F.lit(step + 1), F.size(v) - step), lambda a, b: F.xxhash64(a, b))
-        return let(nxt, lambda n: doubled(n, step * 2))
+        by = min(step, window - step)
+        nxt = F.zip_with(F.slice(v, F.lit(1), F.size(v) - by), F.slice(v, F.lit(by + 1), F.size(v) - by), lambda a, b: F.xxhash64(a, b))
+        return let(nxt, lambda n: doubled(n, step + by))
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     return F.when(F.size(words) > window, let(hashed, lambda h: doubled(h, 1))).otherwise(F.lit(0)).cast("long")
@@ -148,7 +150,7 @@ def host_verdicts(hosts: DataFrame, priors: dict[str, tuple[float, float]], para
 
 def _rejected_hosts(feats: DataFrame, params: QualityParams) -> DataFrame:
     """(host): broadcast if there are few."""
-    hosts = host_counts(feats)
+    hosts = cut(host_counts(feats))  # read for the prior and for the verdicts
     bad = cut(host_verdicts(hosts, beta_priors(hosts, params), params).filter("host_rejected").select("host"))
     return F.broadcast(bad) if bad.count() <= params.broadcast_hosts else bad
 
@@ -168,7 +170,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of ``docs`` that are kept. Texts are measured twice, for hosts and for rows, so that none is shuffled."""
-    feats = features(docs.withColumn("__no_id", F.lit(0)), "__no_id", text_col, host_col, params)
+    feats = features(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), "doc_id", "text", "host", params)
     bad = _rejected_hosts(feats, params)
     w = _of_words(F.coalesce(F.col(text_col), F.lit("")), params)
     failed = let(w, lambda x: _short(x["n_words"], params) | _repeated(x["n_words"], x["n_repeat_words"], params))
