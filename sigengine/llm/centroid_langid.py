@@ -2,12 +2,13 @@
 
 Characters 1 to 3 long are hashed to a fixed number of dimensions; weights are (1 + ln count) times the inverse document
 frequency, which counts every training document. Each language gets several centroids: spherical k-means over a bounded
-sample of its training rows (``sample_rows``; the only thing fitted on a sample). A text goes to the language of the
+sample of its distinct training texts (about ``sample_rows``, or all if there are fewer; the only thing fitted on a sample). A text goes to the language of the
 centroid of highest cosine; ``rejected`` marks texts whose cosine is under that centroid's distance limit, the lowest
 quantile of its own sample.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 (so is every text if no row is labelled);
-ties go to the first language by name; repeated rows and tied ids are rows of their own; an empty table gives an empty
+ties go to the first language by name; more languages than ``most_languages`` are an error, since each adds its
+centroids to what every task holds; repeated rows and tied ids are rows of their own; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -97,22 +98,23 @@ def fit(docs: DataFrame, p: LangParams = LangParams(), text_col: str = "text", l
     def frequencies(batches):
         import pyarrow as pa
 
-        df, rows, langs = np.zeros(1 << bits, np.int64), 0, {}
+        df, rows = np.zeros((1 << bits) + 1, np.int64), 0
         for b in batches:
-            for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+            for t in b.column("text").to_pylist():
                 at, _ = grams(t, bits)
                 df[at] += 1
                 rows += 1
-                langs[lang] = langs.get(lang, 0) + 1
+        df[-1] = rows
         at = np.flatnonzero(df)
-        if rows:
-            key = [*map(str, at.tolist()), "rows", *(f"lang:{x}" for x in langs)]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([*df[at].tolist(), rows, *langs.values()], pa.int64())], ["key", "n"])
-
-    got = d.mapInArrow(frequencies, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    got = {r["key"]: r["n"] for r in got.limit((1 << bits) + 1 + p.most_languages).collect()}  # bounded by dimensions and languages
-    rows = got.pop("rows", 0)
-    langs = {k[5:]: got.pop(k) for k in [k for k in got if k.startswith("lang:")]}
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["key", "n"])
+
+    got = {r["key"]: r["n"] for r in d.select("text").mapInArrow(frequencies, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}  # a row a dimension
+    rows = got.pop(1 << bits, 0)
+    # copies of a text count once here, so that a language of few texts, however often each is repeated, keeps its sample
+    distinct = d.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.03).alias("n")).limit(p.most_languages + 1).collect()
+    if len(distinct) > p.most_languages:
+        raise ValueError(f"more than {p.most_languages} languages")
+    langs = {r["lang"]: r["n"] for r in distinct}
     idf = np.zeros(1 << bits)
     if rows:
         idf[:] = np.log(1 + rows)
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, p: LangParams = LangParams(), text_col: str = "text", l
             idf[int(k)] = np.log((1 + rows) / (1 + n)) + 0.05
     if not langs:
         return LangModel([], np.zeros(0, int), np.zeros((0, 1 << bits), np.float32), idf, np.zeros(0))
-    share = F.create_map(*[F.lit(v) for k, n in langs.items() for v in (k, min(1.0, p.sample_rows / n))])
+    share = F.create_map(*[F.lit(v) for k, n in langs.items() for v in (k, 1.0 if n <= 1.1 * p.sample_rows else p.sample_rows / n)])
     chosen = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0 <= share[F.col("lang")]
 
     def vectors(batches):
@@ -128,19 +130,20 @@ def fit(docs: DataFrame, p: LangParams = LangParams(), text_col: str = "text", l
 
         for b in batches:
             found = [grams(t, bits) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([y for _, y in found], pa.list_(pa.int64()))], ["lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([y for _, y in found], pa.list_(pa.int64()))], ["lang", "h", "at", "n"])
 
     by: dict[str, list] = {}
-    # equal texts hash alike, so a large group of copies is taken or left as one; it counts once
-    for r in d.filter(chosen).dropDuplicates(["lang", "text"]).mapInArrow(vectors, "lang string, at array<long>, n array<long>").limit(4 * p.sample_rows * len(langs)).toLocalIterator():
+    # equal texts hash alike, so a large group of copies is taken or left as one; it counts once. Hashes are even, so the
+    # rows that come are close to their share: about sample_rows a language
+    for r in d.filter(chosen).dropDuplicates(["lang", "text"]).withColumn("h", F.xxhash64("text")).mapInArrow(vectors, "lang string, h long, at array<long>, n array<long>").toLocalIterator():
         at, n = np.array(r["at"], int), np.array(r["n"])
         v = np.zeros(1 << bits, np.float32)
         w = (1 + np.log(n)) * idf[at]
         v[at] = w / max(np.sqrt((w * w).sum()), 1e-12)
-        by.setdefault(r["lang"], []).append(v)
+        by.setdefault(r["lang"], []).append((r["h"], v))
     languages, owner, centers, limits = sorted(by), [], [], []
     for i, lang in enumerate(languages):
-        x = np.stack(by[lang])
+        x = np.stack([v for _, v in sorted(by[lang], key=lambda y: y[0])])  # in the same order on every run
         c = clustered(x, p.clusters, p.rounds)
         best = x @ c.T
         own = best.argmax(1)
