@@ -268,6 +268,73 @@ def test_language(spark, docs, edges):
     assert predict(edges.limit(0), model).count() == 0
 
 
+def test_language_equals_brute_force(spark, edges):
+    from sigengine.llm.centroid_langid import LangParams, fit, predict
+
+    p = LangParams(bits=10, sample_rows=50)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit(docs, p)
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(25).collect()] + [(-i - 1, t) for i, (_, t, *_) in enumerate(EDGES)] + [(-50, "123 .,"), (-51, "\u4e00"), (-52, " a ")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(spark.createDataFrame(rows, "doc_id long, text string"), model, p).collect()}
+    for i, t in rows:
+        lang, score = brute.language(t, model, p)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-4), (i, t)
+
+
+def test_languages_of_few_texts_are_learned(spark):
+    from sigengine.llm.centroid_langid import LangParams, fit, predict
+
+    english = [(f"the {i} words of an english text about the weather and the sea {i * i}", "en") for i in range(500)]
+    french = [("les mots de la langue que nous avons parlée à la maison", "fr")]
+    d = spark.createDataFrame(english + french * 3000, "text string, lang string")
+    model = fit(d, LangParams(sample_rows=100))
+    assert model.languages == ["en", "fr"]
+    got = predict(spark.createDataFrame([(1, "nous avons des mots à la maison")], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "fr"
+    with pytest.raises(ValueError):
+        fit(d, LangParams(most_languages=1))
+
+
+def test_windows_of_any_length(spark):
+    from sigengine.llm.quality_rules import QualityParams, features
+
+    texts = ["a b c d e f g a b c d e f g x", "a a a a a a a a a", "a b a b c", "one two three", "", None, "p q r s t u p q r s t u p q r"]
+    d = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for window in (1, 2, 3, 5, 6, 7, 8):
+        got = {r.doc_id: r.n_repeat_words for r in features(d, params=QualityParams(window=window)).collect()}
+        for i, t in enumerate(texts):
+            words, seen = brute.WORD.findall(t or ""), {}
+            for k in range(len(words) - window + 1):
+                seen.setdefault(tuple(words[k : k + window]), []).append(k)
+            assert got[i] == len({k + j for at in seen.values() if len(at) > 1 for k in at for j in range(window)}), (window, t)
+
+
+def test_dense_personal_data(spark):
+    """Texts full of spans take time near their length, and give what short ones give."""
+    import time
+
+    from sigengine.llm.pii import mask_pii, pii_report
+
+    def seconds(n):
+        d = spark.createDataFrame([(1, "ab@c.de " * n)], "doc_id long, text string")
+        began = time.time()
+        r, m = pii_report(d).first(), mask_pii(d).first()
+        assert r.n_email == n and m.text == "<EMAIL> " * n
+        if n < 3000:
+            want = brute.pii("ab@c.de " * n)[0]
+            assert {k: r[k] for k in want} == want
+        return time.time() - began
+
+    seconds(50), seconds(1000)
+    assert seconds(125_000) < 60  # 1 MB
+    mixed = "x@y.zz 1.2.3.4 +1 234 567 89 10 DE89370400440532013000 ssn 123-45-6789, " * 300
+    d = spark.createDataFrame([(1, mixed), (2, ""), (3, None)], "doc_id long, text string").withColumns({"pii": F.lit(7), "__pii": F.lit(8)})
+    got = {r.doc_id: r for r in mask_pii(d).collect()}
+    assert got[1].text == "<EMAIL> <IP> <PHONE> <IBAN> ssn <SSN>, " * 300 and got[2].text == "" and got[3].text is None
+    assert (got[1]["pii"], got[1]["__pii"]) == (7, 8)
+    assert pii_report(d.limit(0)).count() == 0 and mask_pii(d.limit(0)).count() == 0
+
+
 def test_pii(spark, docs, edges):
     from sigengine.llm.pii import mask_pii, pii_report
 
@@ -522,3 +589,32 @@ def test_least_squares_of_patterns():
     for counts in (np.zeros(11, int), np.eye(11, dtype=int)[10], np.eye(11, dtype=int)[3] * 7):
         made = packing.plan(counts, 10)
         assert sum(n * len(c) for c, n in made) == counts.sum()
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    from sigengine.llm.hyperminhash import keep_documents
+
+    a = " ".join(f"a{i}" for i in range(30))
+    b = " ".join(f"b{i}" for i in range(30))
+    d = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").withColumns({"f1": F.lit(1), "lead": F.lit(2)})
+    kept = lambda rows: sorted((r.doc_id or 0, r.text or "") for r in keep_documents(d(rows)).collect())
+    assert kept([(1, a), (5, a), (5, b)]) == [(1, a), (5, b)]
+    assert kept([(1, a), (5, a), (5, ""), (6, None), (6, b), (None, a)]) == sorted([(0, a), (1, a), (5, ""), (6, ""), (6, b)])
+    got = kept([(5, a), (5, a), (5, b), (5, a + " more")])
+    assert len(got) == 2 and got[1] == (5, b) and got[0][1] in (a, a + " more")
+    assert kept([]) == []
+
+
+def test_components_with_a_hub(spark):
+    from sigengine.llm.components import components
+
+    edges = [(0, i) for i in range(1, 700)] + [(i, i + 1) for i in range(1000, 1030)] + [(650, 1030), (5000, 5001), (7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(700)}, **{i: 0 for i in range(1000, 1031)}, 5000: 5000, 5001: 5000}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_its_sql(spark, name):
+    from oracle import connect, same
+
+    same(spark, connect(SF), queries.QUERIES[name], queries.ORACLE[name], SF)
