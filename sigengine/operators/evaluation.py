@@ -155,11 +155,34 @@ def sensitivity(sig: DataFrame) -> DataFrame:
     return one.unpivot([], [F.col(f"`{c}`") for c in one.columns], "setting", "candidates")
 
 
+def before_sums(c: DataFrame, by: list[str], score: str, values: list[str], parts: int = 64) -> DataFrame:
+    """``c``, of distinct scores, with ``<value>_before``, the sum over lower scores of the same group, for each value.
+
+    Groups may be few and long, so no task orders a whole one: scores are cut at approximate quantiles into ``parts``
+    ranges, sums run within a range, and what the ranges before hold is added from one small row a range. Equal scores
+    never meet a cut, and the result does not depend on where the cuts are.
+    """
+    cuts = F.percentile_approx(score, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000)
+    bounds = F.broadcast(c.groupBy(*by).agg(cuts.alias("__cuts")))  # a row a group
+    d = c.join(bounds, by) if by else c.crossJoin(bounds)
+    d = d.withColumn("__range", F.size(F.filter("__cuts", lambda x: x < F.col(score)))).drop("__cuts")
+    sums = d.groupBy(*by, "__range").agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    lower = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows a group
+    sums = sums.select(*by, "__range", *[F.coalesce(F.sum(f"__{v}").over(lower), F.lit(0)).alias(f"__{v}") for v in values])
+    within = Window.partitionBy(*by, "__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
+    d = d.join(F.broadcast(sums), [*by, "__range"])
+    return d.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"__{v}") for v in values}).drop("__range", *[f"__{v}" for v in values])
+
+
+def _by_score(scores: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+    """(by, score, p, n): positives and rows of each distinct score, so that ties are no hot rows."""
+    return scores.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+
+
 def midrank_auc(scores: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    """Area under the ROC curve by mid-ranks; scores are counted before they are ranked, so ties are no hot rows."""
-    c = scores.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumn("mid", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
+    """Area under the ROC curve by mid-ranks."""
+    c = before_sums(_by_score(scores, label, score, by), by, score, ["n"]).withColumn("mid", F.col("n_before") + (F.col("n") + 1) / 2)
     a = c.groupBy(*by).agg(F.sum(F.col("p") * F.col("mid")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("p")
     return a.select(*by, F.when((F.col("p") > 0) & (neg > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).alias("auc"))
@@ -288,9 +311,9 @@ def ranking_stability(caught: dict[str, list[int]], draws: int = 1000, seed: int
 
 def average_precision(scores: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Sum over falling distinct scores of the gain in recall times the precision there; null without positives."""
-    c = scores.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"tp": F.sum("p").over(upto), "seen": F.sum("n").over(upto)})
+    c = before_sums(_by_score(scores, label, score, by), by, score, ["p", "n"])
+    totals = F.broadcast(c.groupBy(*by).agg(F.sum("p").alias("__p"), F.sum("n").alias("__n")))  # a row a group
+    c = c.join(totals, by).withColumns({"tp": F.col("__p") - F.col("p_before"), "seen": F.col("__n") - F.col("n_before")})
     return c.groupBy(*by).agg((F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
 
 
@@ -352,11 +375,9 @@ def delong_matrix(matrix: DataFrame, label: str, methods: list[str], tiny: float
     ``tiny`` counts as none: z is 0 and p 1 if the areas are equal, else z is infinite and p 0.
     """
     long = matrix.unpivot([*PAIR, label], methods, "method", "score")
-    c = long.groupBy("method", "score").agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).withColumn("q", F.col("n") - F.col("p"))
-    below, whole = Window.partitionBy("method").orderBy("score").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("method")
-    before = lambda k: F.coalesce(F.sum(k).over(below), F.lit(0))
-    positives = F.sum("p").over(whole)
-    placed = c.select("method", "score", F.try_divide(before("q") + F.col("q") / 2, F.sum("q").over(whole)).alias("v10"), F.try_divide(positives - before("p") - F.col("p") / 2, positives).alias("v01"))
+    c = before_sums(_by_score(long, label, "score", ["method"]).withColumn("q", F.col("n") - F.col("p")), ["method"], "score", ["p", "q"])
+    totals = F.broadcast(c.groupBy("method").agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives")))  # a row a method
+    placed = c.join(totals, "method").select("method", "score", F.try_divide(F.col("q_before") + F.col("q") / 2, F.col("negatives")).alias("v10"), F.try_divide(F.col("positives") - F.col("p_before") - F.col("p") / 2, F.col("positives")).alias("v01"))
     wide = long.join(placed, ["method", "score"]).groupBy(*PAIR, label).pivot("method", methods).agg(F.first(F.when(F.col(label) == 1, F.col("v10")).otherwise(F.col("v01"))))
     pairs = [(a, b) for i, a in enumerate(methods) for b in methods[i:]]
     of = lambda m, y: F.when(F.col(label) == y, F.col(m))

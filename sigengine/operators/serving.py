@@ -64,6 +64,7 @@ def health(**tables: DataFrame) -> DataFrame:
     """(table, rows, ok): whether each table can be read and has rows; unreadable ones are no error here."""
     from functools import reduce
 
+    from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
     spark, out = None, []
@@ -71,7 +72,7 @@ def health(**tables: DataFrame) -> DataFrame:
         spark = spark or t.sparkSession
         try:
             n = t.count()
-        except PySparkException:
+        except (PySparkException, Py4JJavaError):
             n = None
         out.append(spark.createDataFrame([(name, n, bool(n))], "table string, rows long, ok boolean"))
     return reduce(DataFrame.unionByName, out)

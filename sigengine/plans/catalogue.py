@@ -335,7 +335,7 @@ for _n, (_f, _s) in _SETS.items():
     )
 add("auc_by_method", f"{BRANK}, {WARN}, grid AS (SELECT m.method, b.drug_name, b.reaction_term, CASE WHEN w.drug_name IS NULL THEN 0 ELSE 1 END AS y, coalesce(l.score, 0) AS score FROM bayes b CROSS JOIN (SELECT DISTINCT method FROM long) m LEFT JOIN long l USING (method, drug_name, reaction_term) LEFT JOIN warn w USING (drug_name, reaction_term)), rk AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2.0 AS mid FROM grid) SELECT method, round((sum(y * mid) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM rk GROUP BY 1")(
     lambda spark, d: E.midrank_auc(
-        E.score_matrix(_long(spark, d)).join(warnings_ref(spark, d).withColumn("y", F.lit(1)), list(P), "left").na.fill(0, ["y"]).unpivot([*P, "y"], list(E.METHODS), "method", "score"), "y", "score", ["method"]
+        _labelled(spark, d).unpivot([*P, "y"], list(E.METHODS), "method", "score"), "y", "score", ["method"]
     ).select("method", _round("auc", 6).alias("auc"))
 )
 
@@ -400,7 +400,7 @@ _CTRL = " UNION ALL ".join(
 add("negative_controls", f"{SIGNALS}, {WARN}, {NEG} SELECT *, round(coalesce(fp / nullif(n_negatives, 0), 0), 4) AS fp_rate, round(coalesce(tp / nullif(n_positives, 0), 0), 4) AS recall, round(1 - coalesce(fp / nullif(n_negatives, 0), 0), 4) AS specificity FROM ({_CTRL}) c")(
     lambda spark, d: E.control_rates(_sig(spark, d), _negatives(spark, d), warnings_ref(spark, d)).select("method", "n_negatives", "n_positives", "fp", "tp", *_r("fp_rate", "recall", "specificity"))
 )
-_labelled = lambda spark, d: E.score_matrix(_long(spark, d)).join(warnings_ref(spark, d).select(*P, F.lit(1).alias("y")), list(P), "left").na.fill(0, ["y"])
+_labelled = lambda spark, d: _keep(E.score_matrix(_long(spark, d)).join(warnings_ref(spark, d).select(*P, F.lit(1).alias("y")), list(P), "left").na.fill(0, ["y"]))
 _WIDE = f"wide AS (SELECT m.*, CASE WHEN w.warning_date IS NULL THEN 0 ELSE 1 END AS y FROM (SELECT {KEY}, " + ", ".join(f"coalesce(max(CASE WHEN method = '{m}' THEN score END), 0) AS {m}" for m in E.METHODS) + " FROM long GROUP BY 1, 2) m LEFT JOIN warn w USING (drug_name, reaction_term))"
 _CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT {KEY}, y, '{m}' AS method, {m} AS score FROM wide" for m in E.METHODS) + ")"
 _BYSCORE = "bys AS (SELECT method, score, sum(y) AS p, count(*) AS n, count(*) - sum(y) AS q FROM cells GROUP BY 1, 2)"

@@ -8,6 +8,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def or_snapshot(spark: SparkSession, live: Callable[[], DataFrame], snapshot: st
         df = live()
         df.limit(1).collect()
         return df
-    except (PySparkException, OSError):
+    except (PySparkException, Py4JJavaError, OSError):
         reader = spark.read.option("header", True)
         return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(snapshot)
 

@@ -116,3 +116,39 @@ def test_csv_pairs_and_quarter_token(spark, tmp_path):
     (tmp_path / "w.csv").write_text("drug_name,reaction_term,warning_date\n a ,x,2020-02-01\nA,X,2019-01-01\nb,y,bad\n")
     got = {(r.drug_name, r.reaction_term): str(r.warning_date) for r in R.read_pairs(spark, str(tmp_path / "w.csv")).collect()}
     assert got == {("A", "X"): "2019-01-01", ("B", "Y"): "None"}
+
+
+def test_report_stream_equals_rebuild(spark, tmp_path):
+    from sigengine.plans.pipeline import clean_facts
+    from sigengine.streaming.incremental import stream_reports
+
+    def put(q, day, n):
+        (tmp_path / "docs" / q).mkdir(parents=True)
+        one = lambda i: {"safetyreportid": f"{q}-{i}", "receivedate": day, "patient": {"drug": [{"medicinalproduct": "Advil 200 mg"}], "reaction": [{"reactionmeddrapt": "rash"}]}}
+        (tmp_path / "docs" / q / "x.json").write_text(json.dumps({"results": [one(i) for i in range(n)]}))
+
+    docs, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    run = lambda: stream_reports(spark, docs, out, str(tmp_path / "cp"), clean_facts)
+    put("2019q4", "20191105", 3)
+    run()
+    put("2020q1", "20200202", 2)
+    run()
+    run()
+    got = spark.read.parquet(out)
+    want = clean_facts(R.flatten(R.read_reports(spark, docs + "/*")))
+    columns = [c for c in want.columns if c in got.columns]
+    assert got.count() == 5 and got.select(columns).exceptAll(want.select(columns)).count() == 0
+    assert {(r.drug_name, r.report_year) for r in got.collect()} == {("IBUPROFEN", 2019), ("IBUPROFEN", 2020)}
+
+
+def test_health(spark, tmp_path):
+    from sigengine.operators.serving import health
+
+    path = str(tmp_path / "gone")
+    spark.range(2).write.parquet(path)
+    lost = spark.read.parquet(path)
+    import shutil
+
+    shutil.rmtree(path)
+    got = {r.table: (r.rows, r.ok) for r in health(good=spark.range(3), empty=spark.range(0), lost=lost).collect()}
+    assert got == {"good": (3, True), "empty": (0, False), "lost": (None, False)}
