@@ -23,6 +23,7 @@ from sigengine.sources.star import fact_events, warnings_ref
 CUTOFFS = ["1998-12-31", "1999-12-31", "2000-12-31", "2001-06-30", "2003-12-31"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+_KEPT: list[DataFrame] = []  # by the query called last
 
 FACT = """fact AS (SELECT CAST(l_orderkey AS STRING) AS safetyreportid, concat(p_brand, '/', CAST(p_size AS STRING)) AS drug_name, concat(p_type, '-', c_mktsegment) AS reaction_term,
  MIN(CASE WHEN l_linenumber % 4 = 0 THEN '2' WHEN l_linenumber % 5 = 0 THEN NULL ELSE '1' END) AS drug_role, MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS serious_int,
@@ -94,7 +95,12 @@ def _rs(*cols: str) -> str:
 
 def add(name: str, oracle: str | None = None):
     def put(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            while _KEPT:  # each query starts from the tables
+                _KEPT.pop().unpersist()
+            return f(spark, d)
+
+        QUERIES[name] = run
         if oracle:
             ORACLE[name] = oracle
         return f
@@ -102,13 +108,8 @@ def add(name: str, oracle: str | None = None):
     return put
 
 
-_KEPT: list[DataFrame] = []
-
-
 def _keep(df: DataFrame) -> DataFrame:
-    """Let ``df`` be computed once for all parts of a query that read it; what earlier queries kept is let go."""
-    while len(_KEPT) > 3:
-        _KEPT.pop(0).unpersist()
+    """Let ``df`` be computed once for all parts of a query that read it; the next query lets it go."""
     _KEPT.append(df.persist())
     return df
 
