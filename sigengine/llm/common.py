@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -11,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigengine.sources.shared import remove, shared_folder
+
 #: Word separators of the contracts: space and \x09-\x0D.
 SPACES = "\t\n\x0b\x0c\r"
 
@@ -19,28 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, *superseded: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *superseded: DataFrame, wait: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: lost executors cost no recomputation.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one is made.
-    The files of ``superseded``, earlier cuts that nothing reads any more, are removed once ``df`` is written.
+    The folder is ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a temporary one is made.
+    The files of ``superseded``, earlier cuts that nothing reads any more, are removed once ``df`` is written. With
+    ``wait`` the shuffle files of the step before are gone before ``df`` is computed.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigengine-"))
-    # Spark removes the shuffle files of earlier steps once nothing refers to them, which an idle driver would notice late
-    gc.collect()
-    sc._jvm.System.gc()
+        sc.setCheckpointDir(shared_folder(spark))
+    if wait:
+        settle(spark)
+    else:
+        gc.collect()
+        sc._jvm.System.gc()
     out = df.checkpoint(eager=True)
     for old in superseded:
         file = old._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
-            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, file.get())
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files that nothing refers to any more, which an idle driver would notice late."""
+    gc.collect()
+    time.sleep(1.2)  # references held for Python are given up within a second
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+
+
 def python_ready(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of whole texts holds, and send this package to the executors once a context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,64 +1,82 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The symbols are the training words seen at least ``K`` times, the end of a text, and one class for all rarer words, within
-which the smoothed word frequencies hold; K is the same for every size of input, so that no context is lost as the corpus
-grows. A context of one or more symbols is kept if it occurs K times and the distribution of the symbols after it
-diverges from that of the longest kept suffix by more than a BIC penalty. Distributions are smoothed towards that suffix's,
-and the longest kept suffix of what was read scores the next symbol.
+The symbols are the training words seen at least ``least_count`` times, the end of a text, and one class for all rarer
+words, within which the smoothed word frequencies hold. A context of one to ``depth`` symbols is kept if it occurs
+``least_count`` times and the distribution of the symbols after it diverges from that of the longest kept suffix by more
+than a BIC penalty. Distributions are smoothed towards that suffix's, and the longest kept suffix of what was read scores
+the next symbol. The threshold is the same for every size of input, so the tree grows in proportion to the corpus.
 
-Texts are cut into chunks, each encoded once with a vocabulary of its own. A chunk is sent only the counts of the words
-and transitions that it holds, by shuffles of distinct entries; neither the vocabulary nor the tree is ever in one place.
+Texts are cut into chunks, each encoded once with a vocabulary of its own. For each depth a chunk asks for the distinct
+transitions that it holds: it sends them, with its own training counts, as sorted and compressed blocks to partitions by
+the hash of their context. A partition adds the counts up, tests the contexts, numbers the transitions that may be
+contexts of the next depth, and answers each block in its order, without keys. A context of very many occurrences is split
+over partitions by its next symbols; the sums of its parts are bounded by ``most_split`` and shared with all tasks.
+Neither the vocabulary nor the tree is ever in one place.
+
+In the divergence test the suffix's probabilities are rounded to a quarter of a bit. Words are counted by 64-bit hashes.
 
 Defined results: null texts count as empty (the end token alone); a null id counts as the empty text in the split;
 repeated rows and tied ids are rows of their own; an empty table gives an empty result; without training rows every word
-has the uniform smoothing probability; other columns are ignored.
+has the uniform smoothing probability; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigengine.llm.common import cut, python_ready
+from sigengine.llm.common import cut, python_ready, settle
 from sigengine.llm.hyperminhash import _SPLIT, mix
 
 END = b"\n"  # no word holds it
-_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class TreeParams:
-    depth: int = 2
-    least_count: int = 16
-    root_share: float = 0.0  # if set, K is that times the square root of the training tokens, least_count at least
+    depth: int = 3
+    least_count: int = 2
     smoothing: float = 20.0  # weight of the suffix's distribution, in occurrences
     penalty: float = 1.0  # times ln(occurrences) for each symbol seen, against twice the log likelihood ratio
-    chunk_tokens: int = 4_000_000
-    broadcast_contexts: int = 200_000  # with their frequent transitions
+    chunk_tokens: int = 2_250_000
+    part_tokens: int = 2_000_000  # tokens of the input for each partition that counts
+    split_tokens: int = 1_000_000  # occurrences of a context beyond which it is split, at least
+    most_split: int = 50_000  # contexts that may be split
     lump: float = 0.5  # added to each word's count, and to that of unknown words
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Bytes of an array, plane by plane, compressed."""
+def _pack(a: np.ndarray, rising: bool = False) -> tuple:
+    """An array as compressed planes of bytes; of a rising one the differences."""
     import pyarrow as pa
 
-    raw = np.ascontiguousarray(a)
+    raw = np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)) if rising else a)
     planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()
-    return pickle.dumps((raw.dtype.str, len(raw), pa.compress(planes, "zstd", asbytes=True) if planes else b""))
+    return raw.dtype.str, len(raw), rising, pa.compress(planes, "zstd", asbytes=True) if planes else b""
 
 
-def _unpack(b: bytes) -> np.ndarray:
+def _unpack(packed: tuple) -> np.ndarray:
     import pyarrow as pa
 
-    kind, n, data = pickle.loads(b)
+    kind, n, rising, data = packed
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True) if n else b"", np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+    a = np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+    return np.cumsum(a, dtype=a.dtype) if rising else a
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
 class _Vocabulary(dict):
@@ -68,12 +86,14 @@ class _Vocabulary(dict):
 
 
 def chunks(docs: DataFrame, p: TreeParams, id_col: str, text_col: str, held: Column) -> DataFrame:
-    """(chunk, docs, ids, words): a chunk's documents, their words as numbers of its own vocabulary, that vocabulary."""
+    """(chunk, kind, pid, blob, tokens, train): of each chunk a row of kind 0, its documents and their words as numbers of its
+    own vocabulary with the order of that by hash, and a row of kind -1, these hashes, which are asked for once."""
     python_ready(docs.sparkSession)
-    d = docs.select(F.col(id_col).alias("doc_id"), held.alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
+        import xxhash
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId() << 24, 0
@@ -83,20 +103,16 @@ def chunks(docs: DataFrame, p: TreeParams, id_col: str, text_col: str, held: Col
             flat = np.concatenate(parts)
             counts = np.bincount(flat, minlength=len(vocabulary))
             order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
-            number = np.empty_like(order)
+            number = np.empty(len(order), np.int32)
             number[order] = np.arange(len(order))
-            words = list(vocabulary)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part + made], pa.int64()),
-                    pa.array([pickle.dumps((ids, np.array(held, bool), n))], pa.binary()),
-                    pa.array([_pack(number[flat].astype(np.int32))], pa.binary()),
-                    pa.array([pa.compress(b" ".join([words[i] for i in order]), "zstd", asbytes=True)], pa.binary()),
-                    pa.array([sum(len(words[i]) + 1 for i in order) - 1], pa.int64()),
-                ],
-                ["chunk", "docs", "ids", "words", "words_size"],
-            )
-
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64)[order]
+            by_hash = np.argsort(hashes).astype(np.int32)
+            blob = pickle.dumps((ids, np.array(held, bool), n, _pack(number[flat]), _pack(by_hash)))
+            train = int(n[~np.array(held, bool)].sum())
+            both = [{"kind": 0, "blob": blob, "tokens": len(flat), "train": train}, {"kind": -1, "blob": pickle.dumps(_pack(hashes[by_hash], rising=True)), "tokens": 0, "train": 0}]
+            return pa.RecordBatch.from_pylist([{"chunk": part + made, "pid": 0, **x} for x in both], schema)
+
+        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("pid", pa.int64()), ("blob", pa.binary()), ("tokens", pa.int64()), ("train", pa.int64())])
         ids, held_, parts, size, vocabulary = [], [], [], 0, _Vocabulary()
         end = vocabulary[END]
         for b in batches:
@@ -112,237 +128,258 @@ def chunks(docs: DataFrame, p: TreeParams, id_col: str, text_col: str, held: Col
         if parts:
             yield row(ids, held_, parts, vocabulary)
 
-    return d.mapInArrow(run, "chunk long, docs binary, ids binary, words binary, words_size long")
-
-
-def _train(state: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's ids, the place of each in its document, and whether it is for training."""
-    _, held, n = pickle.loads(state["docs"])
-    ids = _unpack(state["ids"])
-    starts = np.repeat(np.cumsum(n) - n, n)
-    return ids, (np.arange(len(ids)) - starts).astype(np.int32), np.repeat(~held, n)
-
-
-def _word_rows(parts: DataFrame) -> DataFrame:
-    """(chunk, idx, token, n): every distinct word of a chunk and its training occurrences there."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for r in b.to_pylist():
-                words = pa.decompress(r["words"], r["words_size"], "zstd", asbytes=True).split(b" ")
-                ids, _, train = _train(r)
-                n = np.bincount(ids[train], minlength=len(words))
-                k = len(words)
-                for i in range(0, k, 50_000):
-                    j = min(k, i + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, r["chunk"])), pa.array(np.arange(i, j, dtype=np.int32)), pa.array(words[i:j], pa.binary()), pa.array(n[i:j].astype(np.int64))], ["chunk", "idx", "token", "n"])
-
-    return parts.mapInArrow(run, "chunk long, idx int, token binary, n long")
-
-
-def _counted(words: DataFrame, least: int) -> DataFrame:
-    """(chunk, counts, symbols, known, tracked, rare): each word's training count, the symbols of those that are no rarer; sums over words that the chunk is the first to hold."""
-    by = Window.partitionBy("token")
-    c = words.select("chunk", "idx", "token", F.sum("n").over(by).alias("c"), (F.row_number().over(by.orderBy("chunk")) == 1).alias("first"))
-    c = c.withColumn("symbol", F.when(F.col("c") >= least, F.xxhash64("token").bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))).drop("token")
-
-    def pack(key, pdf):
-        import pandas as pd
-
-        counts = np.zeros(len(pdf), np.int64)
-        symbols = np.zeros(len(pdf), np.int64)
-        counts[pdf["idx"].to_numpy()], symbols[pdf["idx"].to_numpy()] = pdf["c"].to_numpy(), pdf["symbol"].to_numpy()
-        own = pdf["c"].to_numpy()[pdf["first"].to_numpy(bool)]
-        return pd.DataFrame({"chunk": [key[0]], "counts": [_pack(counts)], "symbols": [_pack(symbols[counts >= least])], "known": [int((own > 0).sum())], "tracked": [int((own >= least).sum())], "rare": [int(own[own < least].sum())]})
-
-    return c.groupBy("chunk").applyInPandas(pack, "chunk long, counts binary, symbols binary, known long, tracked long, rare long")
+    return d.mapInArrow(run, "chunk long, kind int, pid long, blob binary, tokens long, train long")
 
 
 @dataclass(frozen=True)
 class _Root:
-    tokens: int
-    known: int
-    least: int
-    rare: float  # probability of the class of rarer words
-    lump: float
+    """What all tasks know: sizes, and of each depth read the split contexts that are kept."""
+
+    tokens: int  # for training
+    parts: int  # partitions that count
+    split: int  # occurrences of a context beyond which it is split
+    known: int = 0
+    rare: float = 1.0  # probability of the class of rarer words
+    lump: float = 0.5
+    kept: tuple = ()
 
     def p(self, c: np.ndarray) -> np.ndarray:
         return (c + self.lump) / (self.tokens + self.lump * (self.known + 1))
 
 
 class _Chunk:
-    """What a chunk knows: its words' counts and the transitions it was sent, depth by depth."""
-
-    def __init__(self, r: dict, root: _Root, p: TreeParams):
-        self.root, self.params, self.sent = root, p, [_unpack(x) if x is not None else None for x in r.get("sent", [])]
-        self.ids, self.place, self.train = _train(r)
-        self.counts = _unpack(r["counts"])
-        tracked = self.counts >= root.least
-        symbol = np.zeros(len(self.counts), np.uint64)  # zero: the class of rarer words
-        symbol[tracked] = _unpack(r["symbols"]).view(np.uint64)
-        p0 = np.where(tracked, root.p(self.counts), root.rare)
-        self.p0 = root.p(self.counts)
-        self.within = np.where(tracked, 1.0, self.p0 / root.rare)
-        self.symbol, self.tracked = symbol[self.ids], tracked[self.ids]
-        self.now = p0[self.ids]  # probability of each symbol by the longest kept suffix so far
-        self.eligible = np.ones(len(self.ids), bool)  # the context of the depth last read is long and frequent enough
-        self.context = np.zeros(len(self.ids), np.uint64)
+    """A chunk's tokens and what the answers of the depths before say of them."""
+
+    def __init__(self, state: bytes, answers: list[dict[int, bytes]], root: _Root, p: TreeParams, hashes: bytes | None = None):
+        self.root, self.params = root, p
+        self.doc_ids, self.held, self.n, ids, order = pickle.loads(state)
+        self.ids, self.order = _unpack(ids), _unpack(order)
+        self.place = np.arange(len(self.ids), dtype=np.int32) - np.repeat((np.cumsum(self.n) - self.n).astype(np.int32), self.n)
+        self.train = np.repeat(~self.held, self.n)
         self.depth = 0
-        for s in self.sent:
-            self._extend()
-            self._read(s)
-
-    def _extend(self) -> None:
-        """To contexts one symbol longer: the one before it is the context that stood there, then its symbol."""
-        for i, j in reversed(self._blocks()):  # from the end, so that the contexts before are still there
-            k = max(i, 1)
-            with np.errstate(over="ignore"):
-                self.context[k:j] = mix(self.context[k - 1 : j - 1] * _P + self.symbol[k - 1 : j - 1] + np.uint64(self.depth + 1))
-        enough = getattr(self, "frequent", self.tracked)
-        self.eligible = np.roll(self.eligible & enough, 1) & (self.place > self.depth)
-        if len(self.eligible):
-            self.eligible[0] = False
-        self.depth += 1
-
-    def _blocks(self) -> list[tuple[int, int]]:
-        """Bounds of blocks of tokens: what is computed on the way takes a block's memory, not a chunk's."""
-        n, size = len(self.ids), 1 << 18
-        return [(i, min(n, i + size)) for i in range(0, n, size)]
-
-    def _keys(self, at: slice | np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix(self.context[at] * _P + self.symbol[at])
-
-    def _read(self, s: np.ndarray | None) -> None:
-        """Apply the transitions sent for this depth: rows of (key, count, occurrences of the context, kept)."""
-        self.frequent = np.zeros(len(self.ids), bool)
-        if s is None or not len(s):
-            return
-        s = s.reshape(-1, 4)
-        sent, m = np.ascontiguousarray(s[:, 0]).view(np.uint64), self.params.smoothing
-        for i, j in self._blocks():
-            t = slice(i, j)
-            keys = self._keys(t)
-            at = np.minimum(np.searchsorted(sent, keys), len(sent) - 1)
-            hit = self.eligible[t] & (sent[at] == keys)
-            count, total, kept = (s[at, k] for k in (1, 2, 3))
-            self.now[t] = np.where(hit & (kept == 1), (count + m * self.now[t]) / (total + m), self.now[t])
-            self.frequent[t] = hit & (count >= self.root.least) & self.tracked[t]
-
-    def transitions(self) -> tuple[np.ndarray, ...]:
-        """Distinct transitions of the next depth: key, context, training occurrences here, probability by the suffix."""
-        self._extend()
-        at = np.flatnonzero(self.eligible).astype(np.int32)
-        keys = np.empty(len(at), np.uint64)
-        for i in range(0, len(at), 1 << 18):
-            keys[i : i + (1 << 18)] = self._keys(at[i : i + (1 << 18)])
-        order = np.argsort(keys).astype(np.int32)
-        keys, at = keys[order], at[order]
-        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-        n = np.add.reduceat(self.train[at], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
-        at = at[first]
-        return keys[first].view(np.int64), self.context[at].view(np.int64), n, self.now[at]
-
-
-def _each(batches) -> Iterator[dict]:
-    """The rows of the batches, one by one: a batch holds several chunks."""
-    for b in batches:
-        for i in range(b.num_rows):
-            yield b.slice(i, 1).to_pylist()[0]
-
-
-def _transition_rows(state: DataFrame, root: _Root, p: TreeParams) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
-
-        for r in _each(batches):
-            keys, contexts, n, q = _Chunk(r, root, p).transitions()
-            for i in range(0, len(keys), 50_000):
-                j = min(len(keys), i + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(j - i, r["chunk"], np.int64)), pa.array(keys[i:j]), pa.array(contexts[i:j]), pa.array(n[i:j].astype(np.int32)), pa.array(q[i:j].astype(np.float32))], ["chunk", "key", "context", "n", "q"]
-                )
-
-    return state.mapInArrow(run, "chunk long, key long, context long, n int, q float")
-
-
-def _sent(rows: DataFrame, root: _Root, p: TreeParams) -> tuple[DataFrame, DataFrame]:
-    """(chunk, more): the transitions a chunk holds whose context is kept, or that may be contexts themselves; and the cut that this reads."""
-    total = rows.groupBy("key").agg(F.sum("n").alias("c"), F.first("context").alias("context"), F.first("q").alias("q"))
-    seen = F.col("c") > 0
-    by_context = total.groupBy("context").agg(
-        F.sum("c").alias("total"),
-        F.sum(F.when(seen, F.col("c") * F.ln(F.col("c") / F.col("q")))).alias("ratio"),
-        F.count_if(seen).alias("seen"),
-        F.collect_list(F.when(F.col("c") >= root.least, F.struct("key", "c"))).alias("frequent"),  # at most one a symbol
-    )
-    ratio = 2 * (F.col("ratio") - F.col("total") * F.ln("total"))
-    kept = (F.col("total") >= root.least) & (ratio > p.penalty * F.col("seen") * F.ln("total"))
-    by_context = cut(by_context.filter("total > 0").select("context", "total", kept.alias("kept"), "frequent").filter("kept OR size(frequent) > 0"))
-    # only transitions of kept contexts, and those that may be contexts themselves, are shuffled with their chunks
-    kept = by_context.filter("kept").select("context", "total")
-    frequent = by_context.filter("NOT kept").select(F.explode("frequent").alias("x"), "total").select("x.key", "x.c", "total")
-    if (by_context.agg(F.sum(1 + F.size("frequent"))).first()[0] or 0) <= p.broadcast_contexts:
-        kept, frequent = F.broadcast(kept), F.broadcast(frequent)
-    own = rows.join(kept, "context").select("chunk", "key", "n", "total")
-    own = own.withColumn("c", F.sum("n").over(Window.partitionBy("key"))).select("chunk", "key", "c", "total", F.lit(1).cast("long").alias("kept"))
-    useful = own.unionByName(rows.select("chunk", "key").join(frequent, "key").select("chunk", "key", "c", "total", F.lit(0).cast("long").alias("kept")))
-
-    def pack(key, pdf):
+        if hashes:
+            # a partition counts the words of a range of hashes
+            self.hashes = _unpack(pickle.loads(hashes))
+            pid = ((self.hashes >> np.uint64(32)) * np.uint64(root.parts)) >> np.uint64(32)
+            self.bounds = np.searchsorted(pid, np.arange(root.parts + 1, dtype=np.uint64))
+        if answers:
+            self._words(answers[0])
+        for a in answers[1:]:
+            self._transitions()
+            self._answered(a)
+
+    def word_questions(self) -> Iterator[tuple[int, bytes]]:
+        n = np.bincount(self.ids[self.train], minlength=len(self.order))
+        for pid, at in self._blocks():
+            yield pid, pickle.dumps((_pack(self.hashes[self.bounds[pid] : self.bounds[pid + 1]], rising=True), _pack(n[at])))
+
+    def _blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        for pid in range(self.root.parts):
+            lo, hi = self.bounds[pid], self.bounds[pid + 1]
+            if hi > lo:
+                yield pid, self.order[lo:hi]
+
+    def _words(self, answer: dict[int, bytes]) -> None:
+        v = len(self.order)
+        self.counts, number, lo = np.zeros(v, np.int64), np.zeros(v, np.int64), 0
+        for pid in sorted(answer):
+            c, t = (_unpack(x) for x in pickle.loads(answer[pid]))
+            at = self.order[lo : lo + len(c)]
+            self.counts[at], number[at] = c, t
+            lo += len(c)
+        tracked = number > 0
+        self.p0 = self.root.p(self.counts)
+        self.within = np.where(tracked, 1.0, self.p0 / self.root.rare)
+        self.now = np.where(tracked, self.p0, self.root.rare)[self.ids]  # probability of each symbol by the longest kept suffix so far
+        # local numbers of the symbols; all rarer words are the last
+        self.symbol = np.where(tracked, np.arange(v), v).astype(np.int32)[self.ids]
+        self.symbol_number = np.append(number, 0)
+        # of the contexts that end at each token: their local numbers, and by these the numbers all chunks share and the occurrences
+        self.context = np.where(tracked, np.arange(v), -1).astype(np.int32)[self.ids]
+        self.context_number, self.context_count = number, self.counts
+
+    def _transitions(self) -> None:
+        """The distinct transitions of the next depth, in the order in which they are asked for."""
         import pandas as pd
 
-        a = pdf[["key", "c", "total", "kept"]].to_numpy(np.int64)
-        a = a[np.argsort(a[:, 0].copy().view(np.uint64))]
-        return pd.DataFrame({"chunk": [key[0]], "more": [_pack(a.reshape(-1))]})
-
-    return useful.groupBy("chunk").applyInPandas(pack, "chunk long, more binary"), by_context
+        self.depth += 1
+        before = np.append(np.int32(-1), self.context[:-1]) if len(self.context) else self.context
+        self.at = np.flatnonzero((before >= 0) & (self.place >= self.depth)).astype(np.int32)
+        v = len(self.counts) + 1
+        self.inverse, keys = pd.factorize(before[self.at].astype(np.int64) * v + self.symbol[self.at])
+        self.inverse, self.from_ = self.inverse.astype(np.int32), keys // v
+        ctx, sym = self.context_number[self.from_], self.symbol_number[keys % v]
+        splits = (1 + self.context_count[self.from_] // self.root.split).astype(np.uint64)
+        pid = (mix(ctx.astype(np.uint64)) + mix(sym.astype(np.uint64) + np.uint64(1)) % splits) % np.uint64(self.root.parts)
+        self.order = np.lexsort((ctx, pid.astype(np.int32)))  # a stable order: the same wherever it is made again
+        self.bounds = np.searchsorted(pid[self.order], np.arange(self.root.parts + 1, dtype=np.uint64))
+        self.ctx, self.sym, self.splits = ctx, sym, splits
+
+    def transition_questions(self) -> Iterator[tuple[int, bytes]]:
+        self._transitions()
+        n = np.bincount(self.inverse[self.train[self.at]], minlength=len(self.ctx))
+        q = np.empty(len(self.ctx))
+        q[self.inverse] = self.now[self.at]
+        q = np.minimum(np.rint(-4 * np.log2(q)), 255).astype(np.uint8)
+        for pid, at in self._blocks():
+            large = np.unique(self.ctx[at[self.splits[at] > 1]])
+            yield pid, pickle.dumps((_pack(self.ctx[at], rising=True), _pack(self.sym[at]), _pack(n[at]), _pack(q[at]), large))
+
+    def _answered(self, answer: dict[int, bytes]) -> None:
+        count, number, kept = np.zeros(len(self.ctx), np.int64), np.zeros(len(self.ctx), np.int64), np.zeros(len(self.ctx), bool)
+        for pid, at in self._blocks():
+            c, t, k = (_unpack(x) for x in pickle.loads(answer[pid]))
+            count[at] = c
+            if self.depth < self.params.depth:  # numbers come in the order of context and symbol
+                may = at[(c >= self.params.least_count) & (self.sym[at] > 0)]
+                number[may[np.lexsort((self.sym[may], self.ctx[may]))]] = t
+            first = _starts(self.ctx[at])
+            kept[at] = np.repeat(k > 0, np.diff(np.append(first, len(at))))
+        large = self.splits > 1
+        if large.any():
+            kept[large] = np.isin(self.ctx[large], self.root.kept[self.depth - 1])
+        m = self.params.smoothing
+        # factor and addend of each distinct transition, then of each token
+        total = self.context_count[self.from_] + m
+        factor, plus = np.where(kept, m / total, 1.0), np.where(kept, count / total, 0.0)
+        self.now[self.at] = self.now[self.at] * factor[self.inverse] + plus[self.inverse]
+        local = np.where(number > 0, np.arange(len(number)), -1).astype(np.int32)
+        self.context = np.full(len(self.ids), -1, np.int32)
+        self.context[self.at] = local[self.inverse]
+        self.context_number, self.context_count = number, count
+
+
+def _merged_words(blobs: list[bytes], pid: int, root: _Root, p: TreeParams) -> tuple[list[bytes], bytes]:
+    """Answers to the chunks' blocks, and (known words, symbols, occurrences of rarer words)."""
+    asked = [pickle.loads(b) for b in blobs]
+    hashes, n = [_unpack(x[0]) for x in asked], np.concatenate([_unpack(x[1]) for x in asked])
+    unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    c = np.bincount(inverse, n, len(unique)).astype(np.int64)
+    order = np.argsort(-c, kind="stable")
+    rank = np.empty(len(c), np.int64)
+    rank[order] = np.arange(len(c))
+    number = np.where(c >= p.least_count, 1 + pid + root.parts * rank, 0)
+    at = np.cumsum([0, *map(len, hashes)])
+    out = [pickle.dumps((_pack(c[i]), _pack(number[i]))) for i in (inverse[a:b] for a, b in zip(at, at[1:], strict=False))]
+    return out, pickle.dumps((int((c > 0).sum()), int((c >= p.least_count).sum()), int(c[c < p.least_count].sum())))
+
+
+def _merged_transitions(blobs: list[bytes], pid: int, root: _Root, p: TreeParams, last: bool) -> tuple[list[bytes], bytes]:
+    """Answers to the chunks' blocks, and rows (number, occurrences, sum of c ln(c/q), symbols seen) of the contexts that are split."""
+    asked = [pickle.loads(b) for b in blobs]
+    own = [_unpack(x[0]) for x in asked]
+    ctx, sym, n, q = np.concatenate(own), *(np.concatenate([_unpack(x[k]) for x in asked]) for k in (1, 2, 3))
+    large = np.unique(np.concatenate([x[4] for x in asked]))
+    order = np.lexsort((sym, ctx))
+    ctx_s = ctx[order]
+    first = _starts(ctx_s, sym[order])
+    c = np.add.reduceat(n[order], first) if len(first) else n
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    of, q = ctx_s[first], q[order][first]
+    by = _starts(of)
+    seen = c > 0
+    ratio = np.zeros(len(c))
+    ratio[seen] = c[seen] * (np.log(c[seen]) + q[seen] * (np.log(2) / 4))
+    total, ratio, seen = (np.add.reduceat(x, by) if len(by) else x for x in (c, ratio, seen.astype(np.int64)))
+    kept = (total >= p.least_count) & (2 * (ratio - total * np.log(np.maximum(total, 1))) > p.penalty * seen * np.log(np.maximum(total, 1)))
+    number = np.zeros(0, np.int64)
+    if not last:
+        may = (c >= p.least_count) & (sym[order][first] > 0)
+        number = np.where(may, 1 + pid + root.parts * (np.cumsum(may) - 1), 0)
+    contexts = of[by]
+    kept_of = np.repeat(kept, np.diff(np.append(by, len(of))))
+    out, lo = [], 0
+    for x in own:
+        at = inverse[lo : lo + len(x)]
+        lo += len(x)
+        own_numbers = np.sort(number[at]) if not last else number
+        out.append(pickle.dumps((_pack(c[at]), _pack(own_numbers[own_numbers > 0], rising=True), _pack(kept_of[at[_starts(x)]].astype(np.uint8)))))
+    some = np.isin(contexts, large)
+    return out, pickle.dumps((contexts[some], total[some], ratio[some], seen[some]))
+
+
+def _split_kept(side: list[bytes], p: TreeParams) -> np.ndarray:
+    """Numbers of the split contexts that are kept, by the sums over their parts."""
+    parts = [pickle.loads(x) for x in side]
+    ctx, total, ratio, seen = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0) for k in range(4))
+    unique, inverse = np.unique(ctx, return_inverse=True)
+    total, ratio, seen = (np.bincount(inverse, x, len(unique)) for x in (total, ratio, seen))
+    return unique[2 * (ratio - total * np.log(np.maximum(total, 1))) > p.penalty * seen * np.log(np.maximum(total, 1))]
 
 
 def score_texts(docs: DataFrame, held: Column, p: TreeParams = TreeParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document; learns from the rows where ``held`` is false."""
-    parts = cut(chunks(docs, p, id_col, text_col, held))
-
-    def summed(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for r in b.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([int(_train(r)[2].sum())])], ["n"])
-
-    tokens = parts.mapInArrow(summed, "n long").agg(F.sum("n")).first()[0] or 0
-    least = max(p.least_count, int(np.ceil(p.root_share * tokens**0.5)))
-    counted = cut(_counted(_word_rows(parts), least))
-    known, tracked, rare_tokens = (x or 0 for x in counted.agg(F.sum("known"), F.sum("tracked"), F.sum("rare")).first())
-    # the class of rarer words also holds the unknown words, which count as one
-    rare = (rare_tokens + p.lump * (known - tracked + 1)) / (tokens + p.lump * (known + 1))
-    root = _Root(tokens, known, least, rare, p.lump)
-    state = cut(parts.select("chunk", "docs", "ids").join(counted.select("chunk", "counts", "symbols"), "chunk").withColumn("sent", F.array().cast("array<binary>")), parts, counted)
-    del parts, counted
-    for _ in range(p.depth):
-        more, contexts = _sent(_transition_rows(state, root, p), root, p)
-        more = cut(more, contexts)  # what its shuffles take is free again before the chunks are rewritten
-        state = cut(state.join(more, "chunk", "left").withColumn("sent", F.concat("sent", F.array("more"))).drop("more"), state, more)
-        del more, contexts
-
-    def scored(batches):
-        import pyarrow as pa
-
-        for r in _each(batches):
-            c = _Chunk(r, root, p)
-            ids, held_, n = pickle.loads(r["docs"])
-            at = np.cumsum(n) - n
-            known_ = np.add.reduceat(c.counts[c.ids] > 0, at, dtype=np.int64)
-            base = np.add.reduceat(np.log10(c.p0)[c.ids], at)
-            model = np.add.reduceat(np.log10(c.now) + np.log10(c.within)[c.ids], at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array(held_), pa.array(n), pa.array(known_), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(model)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
     from pyspark.sql.pandas.types import to_arrow_type
 
+    spark = docs.sparkSession
+    state = cut(chunks(docs, p, id_col, text_col, held))
+    every, tokens = (x or 0 for x in state.agg(F.sum("tokens"), F.sum("train")).first())
+    root = _Root(tokens, max(1, -(-every // p.part_tokens)), max(p.split_tokens, tokens // p.most_split), lump=p.lump)
+    state = state.select("chunk", "kind", "pid", "blob")
+    parts = [state]
+
+    def of_chunk(table, shared) -> _Chunk:
+        """From a chunk's rows: kind 0 is its state, -1 the hashes of its words, k + 1 the answers to question k."""
+        rows = table.select(["kind", "pid", "blob"]).to_pylist()
+        answers: list[dict] = [{} for _ in range(max(r["kind"] for r in rows))]
+        for r in rows:
+            if r["kind"] > 0:
+                answers[r["kind"] - 1][r["pid"]] = r["blob"]
+        own = {r["kind"]: r["blob"] for r in rows if r["kind"] <= 0}
+        return _Chunk(own[0], answers, shared.value, p, own.get(-1))
+
+    def grouped():
+        return reduce(DataFrame.unionByName, parts).groupBy("chunk")
+
+    def asked_by(k: int, shared):
+        def ask(key, table):
+            import pyarrow as pa
+
+            c = of_chunk(table, shared)
+            rows = [{"chunk": key[0].as_py(), "pid": pid, "blob": blob} for pid, blob in (c.transition_questions() if k else c.word_questions())]
+            return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("pid", pa.int64()), ("blob", pa.binary())]))
+
+        return grouped().applyInArrow(ask, "chunk long, pid long, blob binary")
+
+    def answered(k: int, shared):
+        def merge(key, table):
+            import pyarrow as pa
+
+            pid, blobs, ids = key[0].as_py(), table.column("blob").to_pylist(), table.column("chunk").to_pylist()
+            out, side = _merged_transitions(blobs, pid, shared.value, p, k == p.depth) if k else _merged_words(blobs, pid, shared.value, p)
+            rows = [{"chunk": i, "kind": k + 1, "pid": pid, "blob": b} for i, b in [*zip(ids, out, strict=True), (-1, side)]]
+            return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("pid", pa.int64()), ("blob", pa.binary())]))
+
+        return asked_by(k, shared).groupBy("pid").applyInArrow(merge, "chunk long, kind int, pid long, blob binary")
+
+    for k in range(p.depth + 1):
+        shared = spark.sparkContext.broadcast(root)
+        got = cut(answered(k, shared), wait=True)
+        side = [r[0] for r in got.filter("chunk < 0").select("blob").toLocalIterator()]  # a few numbers a partition, and the split contexts
+        parts = [state.filter("kind = 0"), *parts[1:], got.filter("chunk >= 0")]
+        if k:
+            root = replace(root, kept=(*root.kept, _split_kept(side, p)))
+        else:
+            known, tracked, rare = (sum(x) for x in zip((0, 0, 0), *map(pickle.loads, side), strict=True))
+            # the class of rarer words also holds the unknown words, which count as one
+            root = replace(root, known=known, rare=(rare + p.lump * (known - tracked + 1)) / (tokens + p.lump * (known + 1)))
+    settle(spark)
+    shared = spark.sparkContext.broadcast(root)
     kind = docs.schema[id_col].dataType
     id_type = to_arrow_type(kind)
-    return state.mapInArrow(scored, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def scored(key, table):
+        import pyarrow as pa
+
+        c = of_chunk(table, shared)
+        at = np.cumsum(c.n) - c.n
+        known_ = np.add.reduceat((c.counts > 0)[c.ids], at, dtype=np.int64)
+        base = np.add.reduceat(np.log10(c.p0)[c.ids], at)
+        model = np.add.reduceat(np.log10(c.now) + np.log10(c.within)[c.ids], at)
+        return pa.Table.from_arrays(
+            [pa.array(c.doc_ids, id_type), pa.array(c.held), pa.array(c.n), pa.array(known_), pa.array(np.full(len(c.n), tokens, np.int64)), pa.array(base), pa.array(model)],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    return grouped().applyInArrow(scored, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
