@@ -618,3 +618,32 @@ def test_query_equals_its_sql(spark, name):
     from oracle import connect, same
 
     same(spark, connect(SF), queries.QUERIES[name], queries.ORACLE[name], SF)
+
+
+def test_pipeline_stages_on_edge_rows(spark, edges):
+    """Nulls, empty and long texts, repeated rows, clashing names and no rows at all, stage by stage."""
+    import corpus_pipeline
+    from sigengine.llm import convnet
+
+    d = edges.withColumn("n_chars", F.length("text").cast("long"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter(crc_mod("doc_id", 5) != 0)
+    model = convnet.fit(d, labels)
+    p = convnet.ConvParams()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, SF)
+        none = stage(spark, d.limit(0), SF)
+        assert none.count() == 0, name
+        if name == "packing":
+            assert out.filter("piece = 0").count() == len(EDGES)
+            continue
+        assert out.columns == d.columns and none.columns == d.columns, name
+        ids = [r.doc_id for r in out.collect()]
+        if name == "quality_classifier":
+            want = [i for i, t, *_ in EDGES if model is None or convnet.probability(t, model, p) >= p.threshold]
+            assert sorted(map(str, ids)) == sorted(map(str, want))
+        elif name == "quality_rules":
+            assert set(ids) <= {i for i, t, *_ in EDGES if not brute.quality(t)["base_failed"]}
+        elif name == "near_dedup":
+            assert sorted(map(str, ids)) == sorted(map(str, [1, 2, 3, 5, None, 7, 8, 9, 10, 11, 12]))
+        else:
+            assert len(ids) == len(EDGES)
