@@ -123,17 +123,23 @@ def patterns(lengths: np.ndarray, size: int, most: int = 120_000) -> np.ndarray:
     ok = (b >= lengths) & have[b]
     found.append(np.stack([lengths[ok], b[ok], 0 * b[ok], 0 * b[ok]], 1))
     if len(lengths):
-        a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
-        c = size - a - b
-        ok = (a <= b) & (c >= b) & have[np.clip(c, 0, size)]
-        three = np.stack([a[ok], b[ok], c[ok], 0 * c[ok]], 1)
-        found.append(three[:: max(1, len(three) // (most // 2))])
-        few = lengths[:: max(1, len(lengths) // 64)]
-        a, b, c = (x.ravel() for x in np.meshgrid(few, few, lengths, indexing="ij"))
-        d = size - a - b - c
-        ok = (a <= b) & (b <= c) & (d >= c) & have[np.clip(d, 0, size)]
-        four = np.stack([a[ok], b[ok], c[ok], d[ok]], 1)
-        found.append(four[:: max(1, len(four) // (most // 2))])
+        # a slab for each first length, so that no whole grid is ever held: it would take some 400 MB of the driver
+        three, few = [], lengths[:: max(1, len(lengths) // 64)]
+        for a in lengths:
+            b = lengths[lengths >= a]
+            c = size - a - b
+            ok = (c >= b) & have[np.clip(c, 0, size)]
+            three.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok], 0 * c[ok]], 1).astype(np.int32))
+        three = np.concatenate(three)
+        found.append(three[:: max(1, len(three) // (most // 2))].astype(lengths.dtype))
+        four = []
+        for a in few:
+            b, c = (x.ravel() for x in np.meshgrid(few[few >= a], lengths, indexing="ij"))
+            d = size - a - b - c
+            ok = (b <= c) & (d >= c) & have[np.clip(d, 0, size)]
+            four.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok], d[ok]], 1).astype(np.int32))
+        four = np.concatenate(four)
+        found.append(four[:: max(1, len(four) // (most // 2))].astype(lengths.dtype))
     return np.concatenate(found) if found else np.zeros((0, 4), int)
 
 

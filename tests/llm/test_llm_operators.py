@@ -647,3 +647,19 @@ def test_pipeline_stages_on_edge_rows(spark, edges):
             assert sorted(map(str, ids)) == sorted(map(str, [1, 2, 3, 5, None, 7, 8, 9, 10, 11, 12]))
         else:
             assert len(ids) == len(EDGES)
+
+def test_patterns_hold_no_whole_grid():
+    from sigengine.llm import packing
+
+    import tracemalloc
+
+    tracemalloc.start()
+    rows = packing.patterns(np.arange(1, 2049), 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (rows.sum(1) == 2048).all() and len(rows) > 100_000
+    assert peak < 60 << 20
+    few, lengths = packing.patterns(np.array([1, 2, 3, 4, 8]), 8, 10_000), (1, 2, 3, 4)
+    from itertools import combinations_with_replacement as choose
+
+    assert {tuple(x for x in r if x) for r in few.tolist()} == {c for k in (2, 3, 4) for c in choose(lengths, k) if sum(c) == 8}
