@@ -55,20 +55,37 @@ def _pack(a: np.ndarray, rising: bool = False) -> tuple:
     import pyarrow as pa
 
     raw = np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)) if rising else a)
-    planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()
-    return raw.dtype.str, len(raw), rising, pa.compress(planes, "zstd", asbytes=True) if planes else b""
+    most = int(raw.view(f"u{raw.itemsize}").max()) if len(raw) else 0
+    planes = np.empty((-(-most.bit_length() // 8), len(raw)), np.uint8)  # none for high bytes that are zero throughout
+    for k, plane in enumerate(planes):
+        plane[:] = raw.view(np.uint8)[k :: raw.itemsize]
+    return raw.dtype.str, len(raw), rising, len(planes), pa.compress(planes.tobytes(), "zstd", asbytes=True) if planes.size else b""
 
 
 def _unpack(packed: tuple) -> np.ndarray:
     import pyarrow as pa
 
-    kind, n, rising, data = packed
+    kind, n, rising, high, data = packed
     size = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True) if n else b"", np.uint8)
-    a = np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+    out = np.zeros(n * size, np.uint8)
+    if data:
+        for k, plane in enumerate(np.frombuffer(pa.decompress(data, n * high, "zstd", asbytes=True), np.uint8).reshape(high, n)):
+            out[k::size] = plane
+    a = out.view(kind)
     return np.cumsum(a, dtype=a.dtype) if rising else a
 
 
+def _ordered(pid: np.ndarray, rank: np.ndarray, ranks: int, pids: int) -> np.ndarray:
+    """The stable order by (pid, rank): a sort of whole keys that hold the place, which is several times as fast as one of places."""
+    places = max(1, len(pid)).bit_length()
+    ranked = max(1, ranks).bit_length()
+    if pids.bit_length() + ranked + places > 62:
+        return np.lexsort((rank, pid))
+    key = (pid.astype(np.int64) << (ranked + places)) | (rank.astype(np.int64) << places) | np.arange(len(pid))
+    key.sort()
+    return key & ((1 << places) - 1)
+
+
 def _starts(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
     n = len(keys[0])
@@ -211,7 +228,12 @@ class _Chunk:
         ctx, sym = self.context_number[self.from_], self.symbol_number[keys % v]
         splits = (1 + self.context_count[self.from_] // self.root.split).astype(np.uint64)
         pid = (mix(ctx.astype(np.uint64)) + mix(sym.astype(np.uint64) + np.uint64(1)) % splits) % np.uint64(self.root.parts)
-        self.order = np.lexsort((ctx, pid.astype(np.int32)))  # a stable order: the same wherever it is made again
+        # the order of the contexts by their shared numbers, which are all different
+        asked = np.flatnonzero(self.context_number)
+        numbers = self.context_number[asked]
+        rank = np.zeros(len(self.context_number), np.int32)
+        rank[asked[_ordered(numbers, np.zeros(len(numbers), np.int64), 0, int(numbers.max(initial=0)))]] = np.arange(len(asked))
+        self.order = _ordered(pid, rank[self.from_], len(rank), self.root.parts)  # a stable order by (pid, ctx): the same wherever it is made again
         self.bounds = np.searchsorted(pid[self.order], np.arange(self.root.parts + 1, dtype=np.uint64))
         self.ctx, self.sym, self.splits = ctx, sym, splits
 

@@ -663,3 +663,19 @@ def test_patterns_hold_no_whole_grid():
     from itertools import combinations_with_replacement as choose
 
     assert {tuple(x for x in r if x) for r in few.tolist()} == {c for k in (2, 3, 4) for c in choose(lengths, k) if sum(c) == 8}
+
+
+def test_suffix_tree_orders_and_blocks():
+    from sigengine.llm import suffix_tree as T
+
+    r = np.random.default_rng(5)
+    for n, parts, ranks in ((0, 1, 0), (1, 1, 1), (5000, 7, 90), (5000, 1 << 20, 1 << 30), (5000, 1 << 30, 1 << 30)):
+        pid, rank = r.integers(0, parts, n).astype(np.uint64), r.integers(0, max(1, ranks), n)
+        assert (T._ordered(pid, rank, ranks, parts) == np.lexsort((rank, pid))).all()
+    for a in (np.zeros(0, np.int64), np.zeros(9, np.int64), np.arange(300), r.integers(-5, 5, 99), np.array([2**63 - 1, 0]), r.integers(0, 2**64, 50, np.uint64), r.integers(0, 255, 50).astype(np.uint8), np.arange(70_000, dtype=np.int32)):
+        got = T._unpack(T._pack(a))
+        assert got.dtype == a.dtype and (got == a).all()
+        s = np.sort(a)
+        assert (T._unpack(T._pack(s, rising=True)) == s).all()
+    # high bytes that are zero throughout are not stored
+    assert T._pack(np.arange(200))[3] == 1
