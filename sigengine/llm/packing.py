@@ -11,6 +11,7 @@ ties in length go by id; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -20,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigengine.llm import bpe
 from sigengine.llm.common import cut, python_ready
 
 _ADJACENT = re.compile(r"\s\s")
@@ -27,14 +29,47 @@ _ADJACENT = re.compile(r"\s\s")
 #: up to the next space or line end. A match of the pre-splitting pattern ends wherever one of these does.
 _UNITS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\W\d_])|\n| ?[^ \n]+| ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: How byte-level pre-splitting of a tokenizers file splits, and characters whose classes all regular expressions agree on.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHER = re.compile(r"[^\t\n\r -~¡-¬®-ɏ]")
 _ENCODERS: dict = {}
 
 
+def merge_loop(path: str, tokenizer):
+    """A tiktoken encoding with the merges of a tokenizers file, or None where its ids might be other ones.
+
+    tokenizers merges listed pairs in the order of the list, tiktoken any neighbours that make a token in the order of ids.
+    Both do the same if ids follow the list and every token, put to the file's own model, comes back as itself: between
+    the edges of a token to be, earlier merges then leave the listed pair and no other.
+    """
+    import tiktoken
+    from tokenizers import pre_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split, vocab = spec["model"], spec["pre_tokenizer"] or {}, spec["model"].get("vocab")
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    whole = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+    if not (plain and whole):
+        return None
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet(), key=lambda c: (not (33 <= ord(c) <= 126 or 161 <= ord(c) <= 172 or 174 <= ord(c) <= 255), ord(c)))
+    direct = [ord(c) for c in letters if ord(c) < 256]  # those bytes stand for themselves, the others follow in order
+    byte = dict(zip(letters, direct + [b for b in range(256) if b not in set(direct)], strict=True))
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    merged = set(made)
+    if made != sorted(merged) or -1 in merged or byte.keys() - vocab.keys() or any((t in byte) == (i in merged) for t, i in vocab.items()):
+        return None
+    if any([x.id for x in tokenizer.model.tokenize(t)] != [i] for t, i in vocab.items()):
+        return None
+    return tiktoken.Encoding("merges", pat_str=_SPLIT, mergeable_ranks={bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}, special_tokens={})
+
+
 class UnitEncoder:
-    """Ids of whole texts by a tokenizers file, each distinct unit being encoded once while it is remembered.
+    """Ids of whole texts as the tokenizers library gives them by a file.
 
-    Units end only where byte-level pre-splitting always ends a match, so the ids of the units, in order, are those of the
-    text.
+    Where the file allows it (``merge_loop``), texts of Latin characters go through tiktoken's faster loop with the file's
+    merges. The library encodes the others, each distinct unit once while it is remembered: units end only where byte-level
+    pre-splitting always ends a match, so the ids of the units, in order, are those of the text.
     """
 
     def __init__(self, path: str, remembered: int = 150_000, longest: int = 48):
@@ -43,6 +78,7 @@ class UnitEncoder:
         self.tokenizer, self.remembered, self.longest = Tokenizer.from_file(path), remembered, longest
         self.forget()
         self.special = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.merges = merge_loop(path, self.tokenizer)
 
     def units(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
@@ -57,7 +93,23 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """At most twice ``remembered`` units of ``longest`` characters outlive the call: some 60 MB."""
-        return [x for i in range(0, len(texts), 64) for x in self._encode(texts[i : i + 64])]
+        out = [self._merged(t) for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for k in range(0, len(rest), 64):
+            some = rest[k : k + 64]
+            for i, ids in zip(some, self._encode([texts[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
+
+    def _merged(self, text: str, piece_chars: int = 65_536) -> np.ndarray | None:
+        if self.merges is None or not text or _OTHER.search(text) or any(s in text for s in self.special):
+            return None
+        if len(text) <= piece_chars:
+            return np.array(self.merges.encode_ordinary(text), "<u4")
+        parts = list(bpe.pieces(text, piece_chars))
+        if max(map(len, parts)) > 2 * piece_chars:
+            return None
+        return np.concatenate([np.array(self.merges.encode_ordinary(p), "<u4") for p in parts])
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.units(t) if t else [] for t in texts]

@@ -679,3 +679,32 @@ def test_suffix_tree_orders_and_blocks():
         assert (T._unpack(T._pack(s, rising=True)) == s).all()
     # high bytes that are zero throughout are not stored
     assert T._pack(np.arange(200))[3] == 1
+
+
+def test_packing_ids_of_latin_texts_need_no_encoding_of_units(tmp_path):
+    import json
+    import random
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from sigengine.llm import packing
+
+    path = P.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    r = random.Random(5)
+    pools = (" \n\t\r'stredvml", "ab \n", "aeionrth .,", "".join(map(chr, range(32, 127))), "".join(map(chr, (*range(174, 592), 32))), "0123456789 ½²a", "é日本  \x1c\x85a1")
+    texts = ["".join(r.choices(pool, k=r.randint(0, 80))) for pool in pools for _ in range(300)] + ["a <|endoftext|> b", "words " * 30_000, "x" * 3000]
+    enc = packing.UnitEncoder(path)
+    assert [x.tolist() for x in enc.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    enc._encode = None  # every distinct unit by the library: most of the time of prose
+    assert [x.tolist() for x in enc.encode(["Erenes, été\n'tis 12."])] == [whole.encode("Erenes, été\n'tis 12.", add_special_tokens=False).ids]
+
+    # files whose merges tiktoken would not follow go to the library
+    spec = json.loads(whole.to_str())
+    for i, change in enumerate((lambda s: s.update(normalizer={"type": "Lowercase"}), lambda s: s["model"]["merges"].reverse(), lambda s: s["pre_tokenizer"].update(add_prefix_space=True), lambda s: s["model"]["merges"].pop(0))):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        at = tmp_path / f"{i}.json"
+        at.write_text(json.dumps(other))
+        assert packing.merge_loop(str(at), Tokenizer.from_file(str(at))) is None
