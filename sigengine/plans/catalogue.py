@@ -81,8 +81,13 @@ line AS ({_stat('line0')}), crossing AS (SELECT * FROM (SELECT *, row_number() O
 
 
 def _round(c: str, digits: int):
-    """Half away from zero in binary arithmetic, as the SQL engine at the other side rounds doubles."""
-    return F.signum(c) * F.floor(F.abs(c) * 10.0**digits + 0.5) / 10.0**digits
+    """Half away from zero in binary arithmetic, as the SQL engine at the other side rounds doubles; infinite values stay.
+
+    ``floor`` gives a long, so it takes only what may have a fraction: from 2^52 on doubles are whole.
+    """
+    scaled = F.abs(c) * 10.0**digits
+    whole = F.when(scaled < 2.0**52, F.floor(scaled) + F.when(scaled - F.floor(scaled) >= 0.5, 1).otherwise(0)).otherwise(scaled)
+    return F.signum(c) * F.when(scaled < float("inf"), whole / 10.0**digits).otherwise(F.abs(c))
 
 
 def _r(*cols: str) -> list:
