@@ -131,17 +131,19 @@ def chunks(docs: DataFrame, p: TreeParams, id_col: str, text_col: str, held: Col
 
         schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("pid", pa.int64()), ("blob", pa.binary()), ("tokens", pa.int64()), ("train", pa.int64())])
         ids, held_, parts, size, vocabulary = [], [], [], 0, _Vocabulary()
-        end = vocabulary[END]
+        number = vocabulary.__getitem__
         for b in batches:
             for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("held").to_pylist(), b.column("text").to_pylist(), strict=True):
-                tokens = np.array([*[vocabulary[w] for w in t.encode("utf-8", "surrogatepass").translate(_SPLIT).split(b" ") if w], end], np.int32)
+                words = t.encode("utf-8", "surrogatepass").translate(_SPLIT).split()
+                words.append(END)
+                tokens = np.fromiter(map(number, words), np.int32, len(words))
                 ids.append(i), held_.append(h), parts.append(tokens)
                 size += len(tokens)
                 if size >= p.chunk_tokens:
                     yield row(ids, held_, parts, vocabulary)
                     made += 1
                     ids, held_, parts, size, vocabulary = [], [], [], 0, _Vocabulary()
-                    end = vocabulary[END]
+                    number = vocabulary.__getitem__
         if parts:
             yield row(ids, held_, parts, vocabulary)
 
@@ -211,6 +213,8 @@ class _Chunk:
         # local numbers of the symbols; all rarer words are the last
         self.symbol = np.where(tracked, np.arange(v), v).astype(np.int32)[self.ids]
         self.symbol_number = np.append(number, 0)
+        self.symbol_rank = np.zeros(v + 1, np.int64)
+        self.symbol_rank[_ordered(self.symbol_number, np.zeros(v + 1, np.int64), 0, int(number.max(initial=0)))] = np.arange(v + 1)
         # of the contexts that end at each token: their local numbers, and by these the numbers all chunks share and the occurrences
         self.context = np.where(tracked, np.arange(v), -1).astype(np.int32)[self.ids]
         self.context_number, self.context_count = number, self.counts
@@ -221,21 +225,35 @@ class _Chunk:
 
         self.depth += 1
         before = np.append(np.int32(-1), self.context[:-1]) if len(self.context) else self.context
-        self.at = np.flatnonzero((before >= 0) & (self.place >= self.depth)).astype(np.int32)
-        v = len(self.counts) + 1
-        self.inverse, keys = pd.factorize(before[self.at].astype(np.int64) * v + self.symbol[self.at])
-        self.inverse, self.from_ = self.inverse.astype(np.int32), keys // v
-        ctx, sym = self.context_number[self.from_], self.symbol_number[keys % v]
-        splits = (1 + self.context_count[self.from_] // self.root.split).astype(np.uint64)
-        pid = (mix(ctx.astype(np.uint64)) + mix(sym.astype(np.uint64) + np.uint64(1)) % splits) % np.uint64(self.root.parts)
-        # the order of the contexts by their shared numbers, which are all different
-        asked = np.flatnonzero(self.context_number)
-        numbers = self.context_number[asked]
-        rank = np.zeros(len(self.context_number), np.int32)
-        rank[asked[_ordered(numbers, np.zeros(len(numbers), np.int64), 0, int(numbers.max(initial=0)))]] = np.arange(len(asked))
-        self.order = _ordered(pid, rank[self.from_], len(rank), self.root.parts)  # a stable order by (pid, ctx): the same wherever it is made again
-        self.bounds = np.searchsorted(pid[self.order], np.arange(self.root.parts + 1, dtype=np.uint64))
-        self.ctx, self.sym, self.splits = ctx, sym, splits
+        self.at = np.flatnonzero((before >= 0) & (self.place >= self.depth))
+        bits = len(self.counts).bit_length()
+        self.inverse, keys = pd.factorize((before[self.at].astype(np.int64) << bits) | self.symbol[self.at])
+        self.from_, symbol = keys >> bits, keys & ((1 << bits) - 1)
+        self.ctx, self.sym = self.context_number[self.from_], self.symbol_number[symbol]
+        parts = np.uint64(self.root.parts)
+        # a context's transitions go to one partition, those of a split one to several: groups are contexts and parts of contexts
+        group, numbers = self.from_, self.context_number
+        asked = np.flatnonzero(numbers)
+        pids = np.zeros(len(numbers), np.int64)
+        pids[asked] = (mix(numbers[asked].astype(np.uint64)) % parts).astype(np.int64)
+        splits = np.where(numbers > 0, 1 + self.context_count // self.root.split, 1)
+        self.large = (splits > 1)[self.from_]
+        some = np.flatnonzero(self.large)
+        if len(some):
+            part = mix(self.sym[some].astype(np.uint64) + np.uint64(1)) % splits[self.from_[some]].astype(np.uint64)
+            pid = ((mix(self.ctx[some].astype(np.uint64)) + part) % parts).astype(np.int64)
+            pairs, own = np.unique(self.from_[some] * self.root.parts + pid, return_inverse=True)
+            group = self.from_.copy()
+            group[some] = len(numbers) + own
+            numbers, pids = np.append(numbers, numbers[pairs // self.root.parts]), np.append(pids, pairs % self.root.parts)
+        # the groups by partition and by the contexts' shared numbers, then their transitions by the symbols' shared numbers
+        asked = np.flatnonzero(numbers)
+        asked = asked[_ordered(numbers[asked], np.zeros(len(asked), np.int64), 0, int(numbers.max(initial=0)))]
+        asked = asked[_ordered(pids[asked], np.zeros(len(asked), np.int64), 0, self.root.parts)]
+        rank = np.zeros(len(numbers), np.int64)
+        rank[asked] = np.arange(len(asked))
+        self.order = _ordered(rank[group], self.symbol_rank[symbol], len(self.symbol_rank), len(asked))  # all keys differ: the same wherever it is made again
+        self.bounds = np.append(0, np.cumsum(np.bincount(pids[group], minlength=self.root.parts)))
 
     def transition_questions(self) -> Iterator[tuple[int, bytes]]:
         self._transitions()
@@ -243,23 +261,24 @@ class _Chunk:
         q = np.empty(len(self.ctx))
         q[self.inverse] = self.now[self.at]
         q = np.minimum(np.rint(-4 * np.log2(q)), 255).astype(np.uint8)
-        for pid, at in self._blocks():
-            large = np.unique(self.ctx[at[self.splits[at] > 1]])
-            yield pid, pickle.dumps((_pack(self.ctx[at], rising=True), _pack(self.sym[at]), _pack(n[at]), _pack(q[at]), large))
+        ctx, sym, n, q, large = (x[self.order] for x in (self.ctx, self.sym, n, q, self.large))
+        for pid, (lo, hi) in enumerate(zip(self.bounds, self.bounds[1:], strict=False)):
+            if hi > lo:
+                yield pid, pickle.dumps((_pack(ctx[lo:hi], rising=True), _pack(sym[lo:hi]), _pack(n[lo:hi]), _pack(q[lo:hi]), np.unique(ctx[lo:hi][large[lo:hi]])))
 
     def _answered(self, answer: dict[int, bytes]) -> None:
         count, number, kept = np.zeros(len(self.ctx), np.int64), np.zeros(len(self.ctx), np.int64), np.zeros(len(self.ctx), bool)
-        for pid, at in self._blocks():
-            c, t, k = (_unpack(x) for x in pickle.loads(answer[pid]))
-            count[at] = c
+        if answer:
+            c, t, k = (np.concatenate(x) for x in zip(*([_unpack(x) for x in pickle.loads(answer[pid])] for pid in sorted(answer)), strict=True))
+            count[self.order] = c
             if self.depth < self.params.depth:  # numbers come in the order of context and symbol
-                may = at[(c >= self.params.least_count) & (self.sym[at] > 0)]
-                number[may[np.lexsort((self.sym[may], self.ctx[may]))]] = t
-            first = _starts(self.ctx[at])
-            kept[at] = np.repeat(k > 0, np.diff(np.append(first, len(at))))
-        large = self.splits > 1
-        if large.any():
-            kept[large] = np.isin(self.ctx[large], self.root.kept[self.depth - 1])
+                number[self.order[(c >= self.params.least_count) & (self.sym[self.order] > 0)]] = t
+            ctx = self.ctx[self.order]
+            new = np.append(True, ctx[1:] != ctx[:-1])
+            new[self.bounds[:-1][np.diff(self.bounds) > 0]] = True
+            kept[self.order] = (k > 0)[np.cumsum(new) - 1]
+        if self.large.any():
+            kept[self.large] = np.isin(self.ctx[self.large], self.root.kept[self.depth - 1])
         m = self.params.smoothing
         # factor and addend of each distinct transition, then of each token
         total = self.context_count[self.from_] + m
@@ -292,7 +311,11 @@ def _merged_transitions(blobs: list[bytes], pid: int, root: _Root, p: TreeParams
     own = [_unpack(x[0]) for x in asked]
     ctx, sym, n, q = np.concatenate(own), *(np.concatenate([_unpack(x[k]) for x in asked]) for k in (1, 2, 3))
     large = np.unique(np.concatenate([x[4] for x in asked]))
-    order = np.lexsort((sym, ctx))
+    span = int(sym.max(initial=0)) + 1
+    if int(ctx.max(initial=0)) < 2**62 // span:
+        order = np.argsort(ctx * span + sym, kind="stable")  # merges the blocks, which are in order each
+    else:
+        order = np.lexsort((sym, ctx))
     ctx_s = ctx[order]
     first = _starts(ctx_s, sym[order])
     c = np.add.reduceat(n[order], first) if len(first) else n
@@ -315,7 +338,7 @@ def _merged_transitions(blobs: list[bytes], pid: int, root: _Root, p: TreeParams
     for x in own:
         at = inverse[lo : lo + len(x)]
         lo += len(x)
-        own_numbers = np.sort(number[at]) if not last else number
+        own_numbers = number[at] if not last else number
         out.append(pickle.dumps((_pack(c[at]), _pack(own_numbers[own_numbers > 0], rising=True), _pack(kept_of[at[_starts(x)]].astype(np.uint8)))))
     some = np.isin(contexts, large)
     return out, pickle.dumps((contexts[some], total[some], ratio[some], seen[some]))

@@ -708,3 +708,45 @@ def test_packing_ids_of_latin_texts_need_no_encoding_of_units(tmp_path):
         at = tmp_path / f"{i}.json"
         at.write_text(json.dumps(other))
         assert packing.merge_loop(str(at), Tokenizer.from_file(str(at))) is None
+
+
+@pytest.mark.parametrize("split", [1 << 30, 40])
+def test_suffix_tree_blocks_are_in_order_of_context_and_symbol(split):
+    """So partitions merge blocks rather than sort them, and numbers of transitions come back in the order of the question."""
+    import pickle
+
+    from sigengine.llm import suffix_tree as T
+
+    r, p = np.random.default_rng(4), T.TreeParams()
+    states = []
+    for k in range(3):
+        n = r.integers(1, 60, 40)
+        ids = np.minimum(r.geometric(0.1, n.sum()), 50).astype(np.int32) - 1
+        hashes = np.sort(r.integers(1, 2**63, 50, np.uint64)) if not k else hashes  # the same words in all chunks
+        order = r.permutation(50).astype(np.int32)
+        states.append((pickle.dumps((list(range(40)), r.random(40) < 0.2, n, T._pack(ids), T._pack(order))), pickle.dumps(T._pack(hashes, rising=True))))
+    tokens = 3000
+    root = T._Root(tokens, 4, split)
+    answers, seen = [[] for _ in states], 0
+    for k in range(p.depth + 1):
+        asked = []
+        for (state, hashes), a in zip(states, answers):
+            c = T._Chunk(state, a, root, p, hashes if not k else None)
+            asked.append(dict(c.transition_questions() if k else c.word_questions()))
+        new, sides = [{} for _ in states], []
+        for pid in sorted(set().union(*asked)):
+            who = [i for i in range(3) if pid in asked[i]]
+            blobs = [asked[i][pid] for i in who]
+            for b in blobs if k else ():
+                ctx, sym = (T._unpack(x) for x in pickle.loads(b)[:2])
+                assert ((ctx[1:] > ctx[:-1]) | ((ctx[1:] == ctx[:-1]) & (sym[1:] > sym[:-1]))).all()
+                seen += len(ctx)
+            out, side = T._merged_transitions(blobs, pid, root, p, k == p.depth) if k else T._merged_words(blobs, pid, root, p)
+            sides.append(side)
+            for i, o in zip(who, out):
+                new[i][pid] = o
+        for a, x in zip(answers, new):
+            a.append(x)
+        if k:
+            root = T.replace(root, kept=(*root.kept, T._split_kept(sides, p)))
+    assert seen > 3000
